@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, scratch: Scratch) -> DataFrame:
     """Each node's larger neighbours go to the least of its neighbours and itself."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = scratch.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))  # as a table, so that AQE can split the edges of a large star
     return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     path, before = None, None
     while True:
-        new = scratch.write(_small(_large(e)))
+        new = scratch.write(_small(_large(e, scratch)))
         e = scratch.spark.read.schema("a long, b long").parquet(new)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if path:

@@ -85,7 +85,7 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE, cap: int =
     ms = masks(distance)
     t = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(ms)]))
     rows = fps.select("fp", t.alias("x")).select("x.t", "x.key", "fp")
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = scratch.keep(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # as a table, so that AQE can split a crowded bucket in the join
     shared = scratch.keep(rows.join(sizes, ["t", "key"]))
     few = shared.where(F.col("n") <= cap)
     l, r = few.select("t", "key", F.col("fp").alias("a")), few.select("t", "key", F.col("fp").alias("b"))

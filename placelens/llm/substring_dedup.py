@@ -163,9 +163,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
     rows = scratch.keep(texts.mapInArrow(_anchors(min_words, functions), "id long, key long, pos int, lo int, hi int"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
+    # As tables of one row a key, so that AQE can split the other side of each join where an anchor stands in very many documents.
+    shared = scratch.keep(rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"))
     held = scratch.keep(rows.join(shared, "key"))
-    sources = held.where("id = first").groupBy("key").agg(F.min(F.struct("pos", "lo", "hi")).alias("s"))
+    sources = scratch.keep(held.where("id = first").groupBy("key").agg(F.min(F.struct("pos", "lo", "hi")).alias("s")))
     linked = held.where("id <> first").join(sources, "key")
     pairs = scratch.keep(
         linked.groupBy("id", F.col("first").alias("source")).agg(
