@@ -1,4 +1,6 @@
 """All queries of the place engine by name, with the SQL that states the same result."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import discovery, people, quality
+
+QUERIES: dict = {**discovery.QUERIES, **people.QUERIES, **quality.QUERIES}
+ORACLE_SQL: dict = {**discovery.ORACLE_SQL, **people.ORACLE_SQL, **quality.ORACLE_SQL}
