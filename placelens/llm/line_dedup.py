@@ -91,7 +91,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
     table = lambda: spark.read.schema("doc long, h1 long, h2 long, batch long").parquet(staged)
     for b in range(batches):
         runs.add(table().where(F.col("batch") == b).select("doc", "h1", "h2").distinct() if _ids_repeat(docs, id_col) else table().where(F.col("batch") == b).select("doc", "h1", "h2"))
-    often = runs.keys().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+    # As a table of one row a key, so that AQE can split the lines of a key that stands in very many documents.
+    often = runs.scratch.keep(runs.keys().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"))
     return table().select("doc", "h1", "h2").join(often, ["h1", "h2"]).where("doc <> last_doc").groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
