@@ -24,7 +24,9 @@ def fold_table(with_d: bool) -> tuple[str, str]:
 
 def _folded(c: Column, with_d: bool) -> Column:
     source, target = fold_table(with_d)
-    return F.lower(F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\u0300-\\u036f]", ""), source, target))
+    x = F.coalesce(c, F.lit(""))
+    folded = F.lower(F.translate(F.regexp_replace(x, "[\\u0300-\\u036f]", ""), source, target))
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(folded)  # plain ASCII has nothing to fold
 
 
 def normalize_text(c: Column) -> Column:

@@ -87,10 +87,16 @@ def once(df, **columns: Column):
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def haystacks(df):
+    """hay, cat, words: the folded texts that scores look into; each part is folded once."""
+    parts = once(df, cat=normalize_text(F.col("category")), n_name=normalize_text(F.col("name")), n_text=normalize_text(F.col("text")), n_district=normalize_text(F.col("district")))
+    return once(parts, hay=F.concat_ws(" ", "n_name", "cat", "n_text", "n_district"), words=F.concat_ws(" ", "n_name", "n_text")).drop("n_name", "n_text", "n_district")
+
+
 def score_places(df, query: str, location: tuple[float, float] | None = None, max_km: float = 14.0, persona: str | None = None, liked: list[str] = (), disliked: list[str] = (), category_penalty: dict[str, float] | None = None, semantic: Column | None = None):
     """df with the signals and the score. Text is normalized once, in hay."""
     intent = next(iter(detect_intents(query)), (None,))[0]
-    d = once(df, hay=normalize_text(F.concat_ws(" ", "name", "category", "text", "district")), cat=normalize_text(F.col("category")), words=normalize_text(F.concat_ws(" ", "name", "text")))
+    d = haystacks(df)
     km = haversine_km(F.lit(location[0]), F.lit(location[1]), F.col("lat"), F.col("lon")) if location else F.lit(None).cast("double")
     likes = list(dict.fromkeys(liked))
     taste = clamp01((tag_score(F.col("hay"), [persona]) if persona else F.lit(0.35)) * 0.34 + tag_score(F.col("hay"), likes) * 0.66)

@@ -21,7 +21,7 @@ PENALTY = {"quan nhau": 2.5, "bao tang": 1.0}
 def area_opportunity(df: DataFrame, concept: str, least: int = 4) -> DataFrame:
     """One grouping by grid cell; all signals are conditional aggregates, so rows combine before the shuffle."""
     intent = next(iter(S.detect_intents(concept)), (None,))[0]
-    d = S.once(df, hay=C.normalize_text(F.concat_ws(" ", "name", "category", "text", "district")), cat=C.normalize_text(F.col("category")), words=C.normalize_text(F.concat_ws(" ", "name", "text")))
+    d = S.haystacks(df)
     d = d.select(C.grid_key(F.col("lat"), F.col("lon")).alias("area"), "lat", "lon", (S.category_match(F.col("cat"), F.col("words"), intent) > 0.7).alias("direct"), (C.keyword_score(concept, F.col("hay")) > 0).alias("semantic"), C.rating_score(F.col("rating")).alias("rs"), C.review_signal(F.col("review_count")).alias("rv"))
     g = d.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count_if("direct").alias("direct"), F.count_if("semantic").alias("semantic"), F.avg("rs").alias("rs"), F.avg("rv").alias("rv")).where(F.col("n") >= least)
     g = g.withColumn("demand", C.clamp01(F.col("semantic") / F.col("n") * 0.45 + F.col("rs") * 0.3 + F.col("rv") * 0.25))
