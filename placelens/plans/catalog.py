@@ -1,6 +1,7 @@
 """All queries of the place engine by name, with the SQL that states the same result."""
 
-from . import discovery, people, quality
+from . import discovery, people, quality, requests
 
-QUERIES: dict = {**discovery.QUERIES, **people.QUERIES, **quality.QUERIES}
-ORACLE_SQL: dict = {**discovery.ORACLE_SQL, **people.ORACLE_SQL, **quality.ORACLE_SQL}
+PARTS = (discovery, people, quality, requests)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
