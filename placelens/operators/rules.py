@@ -68,3 +68,70 @@ def centroid(low: Column, mid: Column, high: Column) -> Column:
 
 def level(score: Column) -> Column:
     return F.when(score > 70, "high").when(score > 30, "medium").otherwise("low")
+
+
+def road_class(ref: Column, classes: Column, name: Column) -> Column:
+    """From the road's number, else its classes, else its name; named town roads are secondary."""
+    r, n = F.upper(F.coalesce(ref, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    any_of = lambda *c: F.coalesce(F.arrays_overlap(classes, F.array(*[F.lit(x) for x in c])), F.lit(False))
+    part = lambda c, *terms: F.greatest(*[F.contains(c, F.lit(t)) for t in terms])
+    return (
+        F.when(part(r, "QL", "AH"), "primary").when(part(r, "ĐT", "DT"), "secondary")
+        .when(any_of("motorway", "trunk", "primary"), "primary").when(any_of("secondary", "tertiary"), "secondary").when(any_of("residential", "service"), "residential")
+        .when(part(n, "đại lộ", "quốc lộ", "cầu", "hầm chui"), "primary").otherwise("secondary")
+    )
+
+
+#: Words of a turn restriction, in the order in which they are looked for: fixed values.
+TURNS = {"no_right_turn": ("quẹo phải", "rẽ phải"), "no_left_turn": ("quẹo trái", "rẽ trái"), "no_u_turn": ("quay đầu",), "no_straight": ("đi thẳng",)}
+
+
+def turn_type(c: Column) -> Column:
+    t = F.lower(F.coalesce(c, F.lit("")))
+    return F.coalesce(*[F.when(F.contains(t, F.lit(w)), F.lit(kind)) for kind, words in TURNS.items() for w in words], F.lit("unknown"))
+
+
+def time_ranges(c: Column) -> Column:
+    """Ranges of a time rule in minutes; parts are split by commas or AND, and the first range of a part counts."""
+    at = lambda p, i: F.regexp_extract(p, "([0-9]{1,2}):([0-9]{2})\\s*-\\s*([0-9]{1,2}):([0-9]{2})", i).try_cast("int")
+    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "(?i)and", ","), ",")
+    return F.filter(F.transform(parts, lambda p: F.struct((at(p, 1) * 60 + at(p, 2)).alias("start"), (at(p, 3) * 60 + at(p, 4)).alias("end"))), lambda r: r["start"].isNotNull())
+
+
+def time_restricted(c: Column, minute: Column) -> Column:
+    """Both ends belong to a range; ranges don't go past midnight."""
+    return F.exists(time_ranges(c), lambda r: (minute >= r["start"]) & (minute <= r["end"]))
+
+
+#: Words for turns and steps of a route: fixed values.
+MODIFIERS = {
+    "left": "rẽ trái", "right": "rẽ phải", "slight left": "rẽ nhẹ sang trái", "slight right": "rẽ nhẹ sang phải", "sharp left": "rẽ gấp sang trái", "sharp right": "rẽ gấp sang phải",
+    "straight": "đi thẳng", "uturn": "quay đầu",
+}
+STEPS = {
+    "depart": "Xuất phát trên {road}", "arrive": "Đến nơi - {road}", "turn": "{turn} vào {road}", "new name": "Tiếp tục trên {road}", "merge": "Nhập vào {road}", "fork": "{fork} vào {road}",
+    "roundabout": "Đi qua vòng xuyến, ra {road}", "end of road": "Cuối đường, {end} vào {road}", "continue": "Tiếp tục trên {road}",
+}
+
+
+def instruction(kind: Column, modifier: Column, road: Column, metres: Column) -> Column:
+    """A step in words, with its kilometres."""
+    words = F.try_element_at(F.create_map(*[F.lit(x) for kv in MODIFIERS.items() for x in kv]), F.coalesce(modifier, F.lit("")))
+    named = F.coalesce(F.nullif(road, F.lit("")), F.lit("đường không tên"))
+    slots = {"road": named, "turn": F.coalesce(words, modifier, F.lit("")), "fork": F.coalesce(words, F.lit("rẽ")), "end": F.coalesce(words, F.lit(""))}
+    text = F.concat(F.coalesce(words, kind, F.lit("")), F.lit(" trên "), named)
+    for name, template in STEPS.items():
+        parts = [slots[p] if i % 2 else F.lit(p) for i, p in enumerate(template.replace("}", "{").split("{"))]
+        text = F.when(kind == name, F.concat(*parts)).otherwise(text)
+    return F.concat(text, F.format_string(" (%.1f km)", F.floor(metres / 100.0 + 0.5) / 10.0))
+
+
+#: Peak hours by how busy a road is: fixed values.
+PROFILES = {"High": (11.5, 13.5, 17.5, 22.0), "Medium": (7.0, 9.5, 16.5, 19.5), "Low": (6.5, 8.5, 16.0, 18.0)}
+
+
+def density_level(name: Column) -> Column:
+    """From the sum of the name's code points modulo 50. A character's UTF-32 bytes are its code point."""
+    codes = F.transform(F.split(name, ""), lambda ch: F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("int"))
+    n = F.aggregate(codes, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 50
+    return F.when(n > 35, "High").when(n > 15, "Medium").otherwise("Low")
