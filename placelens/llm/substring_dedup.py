@@ -10,6 +10,10 @@ rows in proportion to the anchors, not their pairs). All anchors of a document w
 wide that they reach beyond the shortest passage on either side, and only these intervals of the texts are fetched. Each is verified: from an anchor, equal words are followed
 both ways, over gaps of at most GAP words behind which 5 words agree; a passage counts from MIN_WORDS words and a Jaccard similarity of its shingles of SIMILARITY.
 
+A document of smallest id may hold an anchor without the passage around it, and hide that two others share all of it. So anchors that more documents hold, one of
+them without a found passage there, are looked up once more by all windows of MIN_WORDS words around them: documents that share such a key share the whole window.
+Hence each document that repeats MIN_WORDS words of one of smaller id is found.
+
 Words are runs of bytes other than [\\x20\\x09-\\x0D], A-Z lower-cased. Null texts are empty ones and have no passage. Rows without an id take no part and keep their text; rows of equal id
 should not occur (they're taken as copies of one document, and the first text is compared). Repeats within one document are left alone.
 """
@@ -158,22 +162,22 @@ def _verify(min_words: int, least: float):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS) -> DataFrame:
-    """id, source, start, end, source_start, source_end (code points), n_words, similarity: passages of a document that a document of smaller id holds."""
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    rows = scratch.keep(texts.mapInArrow(_anchors(min_words, functions), "id long, key long, pos int, lo int, hi int"))
+def _pairs(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key several documents hold, with the smallest of them; and each document's pair with each such document, with positions and intervals."""
     # As tables of one row a key, so that AQE can split the other side of each join where an anchor stands in very many documents.
     shared = scratch.keep(rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"))
     held = scratch.keep(rows.join(shared, "key"))
     sources = scratch.keep(held.where("id = first").groupBy("key").agg(F.min(F.struct("pos", "lo", "hi")).alias("s")))
     linked = held.where("id <> first").join(sources, "key")
-    pairs = scratch.keep(
-        linked.groupBy("id", F.col("first").alias("source")).agg(
-            F.sort_array(F.collect_list(F.struct("pos", F.col("s.pos").alias("rpos")))).alias("pairs"),
-            F.min("lo").alias("lo_b"), F.max("hi").alias("hi_b"), F.min("s.lo").alias("lo_a"), F.max("s.hi").alias("hi_a"),
-        )
+    pairs = linked.groupBy("id", F.col("first").alias("source")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.col("s.pos").alias("rpos")))).alias("pairs"),
+        F.min("lo").alias("lo_b"), F.max("hi").alias("hi_b"), F.min("s.lo").alias("lo_a"), F.max("s.hi").alias("hi_a"),
     )
+    return held, scratch.keep(pairs)
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Fetches the intervals of both texts of each pair, and verifies them."""
     cut = lambda lo, hi: F.substring("text", F.col(lo) + 1, F.col(hi) - F.col(lo))
     wanted = pairs.select(F.col("id").alias("owner"), F.lit(0).alias("side"), "id", "source", F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"))
     wanted = wanted.unionByName(pairs.select(F.col("source").alias("owner"), F.lit(1).alias("side"), "id", "source", F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")))
@@ -185,6 +189,50 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined.mapInArrow(_verify(min_words, similarity), kinds)
 
 
+def _whole_windows(min_words: int):
+    """All windows of min_words words that hold a given anchor, keyed by all their words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                data = b.column(1)[i].as_py().encode("utf-8", "replace")
+                w, start, end = words(data)
+                first, last = char_offsets(data, start), char_offsets(data, end)
+                p = np.searchsorted(first, np.array(b.column(2)[i].as_py(), np.int64))
+                at = np.unique((p[:, None] - np.arange(min_words - CONTEXT - SHINGLE + 2)[None, :]).ravel())
+                at = at[(at >= 0) & (at + min_words <= len(w))]
+                cols = [shingles(w, min_words)[at].view(np.int64), *(x.astype(np.int32) for x in (first[at], first[np.maximum(at - MARGIN, 0)], last[np.minimum(at + min_words + MARGIN, len(w)) - 1]))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), *map(pa.array, cols)], ["id", "key", "pos", "lo", "hi"])
+
+    return run
+
+
+def _left_over(held: DataFrame, found: DataFrame) -> DataFrame:
+    """id, at: the anchors whose comparison with one place of one document may have missed another holder. Such a key stands in
+    two documents besides the smallest, or twice in that one, and one document at least has no found passage there."""
+    spans = found.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    bare = ~F.coalesce(F.exists("spans", lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["end"])), F.lit(False))
+    marked = held.where("id <> first").join(spans, F.col("id") == F.col("of"), "left").select("key", "id", bare.alias("bare"))
+    marked = marked.unionByName(held.where("id = first").select("key", F.lit(None).cast("long").alias("id"), F.lit(False).alias("bare")))
+    keys = marked.groupBy("key").agg(F.bool_or("bare").alias("bare"), (F.min("id") < F.max("id")).alias("many"), F.count_if(F.col("id").isNull()).alias("own"))
+    return held.join(keys.where("bare and (many or own > 1)").select("key"), "key").groupBy("id").agg(F.collect_set("pos").alias("at"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS) -> DataFrame:
+    """id, source, start, end, source_start, source_end (code points), n_words, similarity: passages of a document that a document of smaller id holds."""
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
+    rows = scratch.keep(texts.mapInArrow(_anchors(min_words, functions), "id long, key long, pos int, lo int, hi int"))
+    held, pairs = _pairs(rows, scratch)
+    found = scratch.keep(_compare(pairs, texts, min_words, similarity))
+    some = scratch.keep(texts.join(_left_over(held, found), "id"))
+    windows = scratch.keep(some.mapInArrow(_whole_windows(min_words), "id long, key long, pos int, lo int, hi int"))
+    _, more = _pairs(windows, scratch)
+    return found.unionByName(_compare(more, some.select("id", "text"), min_words, similarity)).distinct()
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows without their repeated passages; the document of the smallest id keeps a passage."""
     scratch = Scratch(docs.sparkSession)

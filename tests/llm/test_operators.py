@@ -166,6 +166,18 @@ def test_substring_dedup(spark, odd, empty, docs):
     assert D.substring_dedup(odd).count() == odd.count() and D.substring_dedup(empty).count() == 0 and D.substring_dedup(odd).columns == odd.columns
 
 
+def test_short_repeat_hides_no_longer_one(spark):
+    """The smallest document holds 46 of the 50 words that two others share; and one that holds a beginning twice."""
+    rows = []
+    for t in range(0, 90, 3):
+        p, own = [f"p{t}x{i}" for i in range(50)], lambda k: " ".join(f"{k}{t}y{i}" for i in range(70))  # noqa: B023
+        rows += [(t, f"{own('a')} {' '.join(p[:46])}"), (t + 1, f"{own('b')} {' '.join(p)} {own('d')}"), (t + 2, f"{own('c')} {' '.join(p)} {own('e')}")]
+    q = [f"q{i}" for i in range(50)]
+    rows += [(90, f"{' '.join(q[:44])} between {' '.join(q)} {own('f')}"), (91, f"{own('g')} {' '.join(q)} {own('h')}")]
+    got = {(r["id"], r["source"]) for r in D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(t + 2, t + 1) for t in range(0, 90, 3)} | {(91, 90)}
+
+
 def test_compact_windows_cover_each_passage():
     h = textkit.mix64(np.arange(200, dtype=np.uint64) % np.uint64(60))
     found = list(D.compact_windows(h, 10))
