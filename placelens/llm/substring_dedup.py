@@ -162,13 +162,15 @@ def _verify(min_words: int, least: float):
     return run
 
 
-def _pairs(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key several documents hold, with the smallest of them; and each document's pair with each such document, with positions and intervals."""
+def _pairs(rows: DataFrame, scratch: Scratch, wanted: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Rows whose key several documents hold, with the smallest of them; and each document's pair with each such document, with positions and intervals.
+    Only rows that are wanted look for a pair; all can be the other side of one."""
     # As tables of one row a key, so that AQE can split the other side of each join where an anchor stands in very many documents.
-    shared = scratch.keep(rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"))
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.expr(wanted)).alias("any"))
+    shared = scratch.keep(shared.where("first <> last and any").select("key", "first"))
     held = scratch.keep(rows.join(shared, "key"))
     sources = scratch.keep(held.where("id = first").groupBy("key").agg(F.min(F.struct("pos", "lo", "hi")).alias("s")))
-    linked = held.where("id <> first").join(sources, "key")
+    linked = held.where("id <> first").where(wanted).join(sources, "key")
     pairs = linked.groupBy("id", F.col("first").alias("source")).agg(
         F.sort_array(F.collect_list(F.struct("pos", F.col("s.pos").alias("rpos")))).alias("pairs"),
         F.min("lo").alias("lo_b"), F.max("hi").alias("hi_b"), F.min("s.lo").alias("lo_a"), F.max("s.hi").alias("hi_a"),
@@ -190,7 +192,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: flo
 
 
 def _whole_windows(min_words: int):
-    """All windows of min_words words that hold a given anchor, keyed by all their words."""
+    """All windows of min_words words that hold a given anchor, keyed by all their words; bare if one of their anchors is."""
 
     def run(batches):
         import pyarrow as pa
@@ -200,24 +202,27 @@ def _whole_windows(min_words: int):
                 data = b.column(1)[i].as_py().encode("utf-8", "replace")
                 w, start, end = words(data)
                 first, last = char_offsets(data, start), char_offsets(data, end)
-                p = np.searchsorted(first, np.array(b.column(2)[i].as_py(), np.int64))
-                at = np.unique((p[:, None] - np.arange(min_words - CONTEXT - SHINGLE + 2)[None, :]).ravel())
+                p = np.searchsorted(first, np.array([x["pos"] for x in b.column(2)[i].as_py()], np.int64))
+                bare = np.array([x["bare"] for x in b.column(2)[i].as_py()], bool)
+                around = p[:, None] - np.arange(min_words - CONTEXT - SHINGLE + 2)[None, :]
+                at = np.unique(around.ravel())
                 at = at[(at >= 0) & (at + min_words <= len(w))]
                 cols = [shingles(w, min_words)[at].view(np.int64), *(x.astype(np.int32) for x in (first[at], first[np.maximum(at - MARGIN, 0)], last[np.minimum(at + min_words + MARGIN, len(w)) - 1]))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), *map(pa.array, cols)], ["id", "key", "pos", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), *map(pa.array, cols), pa.array(np.isin(at, around[bare]))], ["id", "key", "pos", "lo", "hi", "bare"])
 
     return run
 
 
 def _left_over(held: DataFrame, found: DataFrame) -> DataFrame:
-    """id, at: the anchors whose comparison with one place of one document may have missed another holder. Such a key stands in
-    two documents besides the smallest, or twice in that one, and one document at least has no found passage there."""
-    spans = found.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    bare = ~F.coalesce(F.exists("spans", lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["end"])), F.lit(False))
-    marked = held.where("id <> first").join(spans, F.col("id") == F.col("of"), "left").select("key", "id", bare.alias("bare"))
-    marked = marked.unionByName(held.where("id = first").select("key", F.lit(None).cast("long").alias("id"), F.lit(False).alias("bare")))
-    keys = marked.groupBy("key").agg(F.bool_or("bare").alias("bare"), (F.min("id") < F.max("id")).alias("many"), F.count_if(F.col("id").isNull()).alias("own"))
-    return held.join(keys.where("bare and (many or own > 1)").select("key"), "key").groupBy("id").agg(F.collect_set("pos").alias("at"))
+    """id, at (pos, bare): the anchors whose comparison with one place of one document may have missed another holder. Such a key stands in
+    two documents besides the smallest, or twice in that one, and one document at least has no found passage there: it is bare."""
+    spans = found.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document's own passages
+    inside = F.coalesce(F.exists("spans", lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["end"])), F.lit(False))
+    marked = lambda rows: rows.join(spans, F.col("id") == F.col("of"), "left").select("key", "id", "pos", (F.col("id") != F.col("first")).alias("other"), ((F.col("id") != F.col("first")) & ~inside).alias("bare"))
+    other = F.when(F.col("other"), F.col("id"))
+    keys = marked(held).groupBy("key").agg(F.bool_or("bare").alias("any"), (F.min(other) < F.max(other)).alias("many"), F.count_if(~F.col("other")).alias("own"))
+    few = held.join(keys.where("any and (many or own > 1)").select("key"), "key")
+    return marked(few).groupBy("id").agg(F.collect_set(F.struct("pos", "bare")).alias("at"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS) -> DataFrame:
@@ -228,8 +233,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     held, pairs = _pairs(rows, scratch)
     found = scratch.keep(_compare(pairs, texts, min_words, similarity))
     some = scratch.keep(texts.join(_left_over(held, found), "id"))
-    windows = scratch.keep(some.mapInArrow(_whole_windows(min_words), "id long, key long, pos int, lo int, hi int"))
-    _, more = _pairs(windows, scratch)
+    windows = scratch.keep(some.mapInArrow(_whole_windows(min_words), "id long, key long, pos int, lo int, hi int, bare boolean"))
+    _, more = _pairs(windows, scratch, "bare")
     return found.unionByName(_compare(more, some.select("id", "text"), min_words, similarity)).distinct()
 
 
