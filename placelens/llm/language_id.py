@@ -87,8 +87,10 @@ def _counts(batches):
 class LanguageFilter:
     """masks: (slots, words) of language bits; langs: the languages in order of their bits."""
 
-    def __init__(self, langs: list[str], masks: np.ndarray):
-        self.langs, self.masks = langs, masks
+    def __init__(self, langs: list[str], masks: np.ndarray, false: np.ndarray | None = None):
+        self.langs, self.masks, self.false = langs, masks, false
+        if false is not None:
+            return
         bits = np.zeros(len(langs))
         for i in range(0, len(masks), 1 << 16):
             bits += self.per_language(masks[i : i + (1 << 16)])
@@ -143,8 +145,9 @@ def _predict(model):
     def run(batches):
         import pyarrow as pa
 
+        filters = LanguageFilter(*model.value)
         for b in batches:
-            got = [model.value.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+            got = [filters.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return run
@@ -152,7 +155,8 @@ def _predict(model):
 
 def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
     """All columns of the input as the struct row, with lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS words: a fixed size
+    # SLOTS words: a fixed size. Plain values, as workers without this package can't read its classes from a broadcast.
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.masks, model.false))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(_predict(sent), f"{kinds}, lang_pred string, score double").drop("text")
