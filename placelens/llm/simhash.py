@@ -7,7 +7,13 @@ A bucket of over PAIR_CAP classes isn't compared in pairs: each class there name
 outside the bucket's fixed bits as its centres, and classes that share a centre are linked. Two values are at distance 2 or less
 exactly if they share a centre, and a centre has 27 classes at most, so this loses no link and no group is unbounded.
 
-Null texts are empty ones; a text without words has fingerprint zero and is linked as any other. Rows of equal id are rows of one
+The corpus stage (simhash_dedup) looks for a Jaccard similarity of 0.8 of the sets of five-word shingles. That is about 10 of 64 bits, too many for blocks that tell
+documents apart. So it takes fingerprints of WIDE bits: the signs of random projections of the shingle set (a signed count in WIDE cells, then two Hadamard transforms with random
+signs), split into 170 blocks of 24 bits. A pair at 0.8 agrees on a given bit with probability 0.85, so on one block at least with 0.96; at 0.85 with 0.998. Texts of equal
+sets are one class. Classes that share a block are compared in pairs; in a block value of over PAIR_CAP classes, each with the least and the greatest class there. All these
+pairs are verified by their Hamming distance, which with the sizes of the sets gives their similarity to about 0.013. Components of the verified links are the groups.
+
+Null texts are empty ones; a text without words has fingerprint zero, or an empty set of shingles, and is linked as any other. Rows of equal id are rows of one
 document. Rows without an id link as others do, but never name a component. A component without any id has a null one.
 """
 
@@ -21,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import Scratch
-from .textkit import blocks
+from .textkit import blocks, mix64, shingles, words
 
 BITS, BLOCKS, DISTANCE, PAIR_CAP = 64, 5, 2, 64
+WIDE, BLOCK_BITS, SHINGLE, SIMILARITY = 4096, 24, 5, 0.8
 SEED = 42
 
 
@@ -111,9 +118,85 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(of_class, "fp").select("id", "fp", "component")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """The Walsh-Hadamard transform of each row, whose length is a power of two."""
+    n, width = x.shape
+    step = 1
+    while step < width:
+        v = x.reshape(n, -1, 2, step)
+        x = np.stack((v[:, :, 0] + v[:, :, 1], v[:, :, 0] - v[:, :, 1]), axis=2).reshape(n, width)
+        step *= 2
+    return x
+
+
+def wide_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WIDE bits (0 or 1) for each set of hashes."""
+    cells = np.zeros((len(sets), WIDE), np.float32)
+    for row, h in zip(cells, sets, strict=True):
+        row += np.bincount((h & np.uint64(WIDE - 1)).astype(np.int64), 1.0 - 2.0 * ((h >> np.uint64(32)) & np.uint64(1)), WIDE)
+    signs = 1 - 2 * (mix64(np.arange(1, WIDE + 1, dtype=np.uint64)) >> np.uint64(63)).astype(np.float32)
+    return (hadamard(hadamard(cells) * signs) > 0).astype(np.uint8)
+
+
+def _wide_fingerprints(size: int):
+    """id, class (a hash of the shingle set), n (its size), bits (longs) and keys (number and value of each block)."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        count = WIDE // BLOCK_BITS
+        power, number = 1 << np.arange(BLOCK_BITS, dtype=np.int64), np.arange(count, dtype=np.int64) << BLOCK_BITS
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                sets = [np.unique(shingles(words((t.as_py() or "").encode("utf-8", "replace"))[0], size)) for t in part.column(1)]
+                bits = wide_bits(sets)
+                keys = bits[:, : count * BLOCK_BITS].reshape(len(sets), count, BLOCK_BITS) @ power + number
+                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (packed, keys)]
+                cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), *lists], ["id", "class", "n", "bits", "keys"])
+
+    return run
+
+
+def wide_links(classes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, cap: int = PAIR_CAP) -> DataFrame:
+    """a, b: verified pairs of classes (class, n, bits, keys) that share a block."""
+    rows = classes.select("class", F.explode("keys").alias("key"))
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("a"), F.max("class").alias("b")).where("size > 1")
+    full = scratch.keep(full)  # as a table, so that AQE can split a crowded block in the joins
+    members = scratch.keep(rows.join(full.where("size > 2"), "key"))
+    few = members.where(F.col("size") <= cap)
+    inside = few.select("key", F.col("class").alias("a")).join(few.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b")
+    crowd = members.where(F.col("size") > cap)
+    spokes = crowd.select("a", F.col("class").alias("b")).unionByName(crowd.select(F.col("class").alias("a"), "b")).where("a <> b")
+    pairs = scratch.keep(full.where("size = 2").select("a", "b").unionByName(inside).unionByName(spokes).distinct())
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    # The sizes alone rule a pair out if the smaller set is less than the wanted share of the larger.
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    shared = F.cos(apart * F.lit(np.pi / WIDE)) * F.sqrt(F.col("n_a") * F.col("n_b"))
+    return both.where(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id, component: the smallest id reachable over links of the similarity of shingle sets or more, of each row."""
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = scratch.keep(texts.mapInArrow(_wide_fingerprints(size), "id long, class long, n long, bits array<long>, keys array<long>"))
+    # Equal sets have equal bits, so any one row of a class stands for it; the ids alone are grouped.
+    least = scratch.keep(rows.groupBy("class").agg(F.min("id").alias("first")))
+    classes = scratch.keep(rows.join(least, "class").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["class"]).select("class", "n", "bits", "keys"))
+    comp = connected_components(scratch.keep(wide_links(classes, scratch, similarity)), scratch)
+    rooted = scratch.keep(least.join(comp, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
+    return rows.select("id", "class").join(scratch.keep(named), "class").select("id", "component")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows, one document of each group: the one whose id names the component. Rows without an id stay."""
-    out = simhash_components(docs, id_col, text_col, words).where("id <> component").select("id").distinct()
+    out = near_components(docs, id_col, text_col, **options).where("id <> component").select("id").distinct()
     return docs.join(out.select(F.col("id").alias("__simhash_gone")), F.col(f"`{id_col}`") == F.col("__simhash_gone"), "left_anti")
 
 
