@@ -129,7 +129,45 @@ def test_simhash(spark, odd, empty, docs):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
         assert all(r["component"] == find(r["id"]) for r in got if r["id"] is not None)
-    assert S.simhash_components(empty).count() == 0 and S.simhash_dedup(odd).columns == odd.columns
+    assert S.simhash_components(empty).count() == 0
+
+
+def test_near_duplicates(spark, odd, empty, docs):
+    """Groups at a Jaccard similarity of 0.8 of five-word shingle sets: a pair from 0.83 is found, and none under 0.77 is linked but through others."""
+    few = lambda t: ((w := t.lower().split()), {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())[1]
+    random = np.random.default_rng(5)
+    base = [f"v{x}" for x in random.integers(0, 500, 300)]
+    copies = []
+    for i in range(150):  # more classes than PAIR_CAP in many blocks; one or two words of each are its own
+        w = list(base)
+        for at in random.integers(0, 300, 1 + i % 2):
+            w[at] = f"own{i}"
+        copies.append((10_000 + i, " ".join(w)))
+    near = [(20_000 + 2 * i + j, " ".join(x)) for i in range(40) for w in [[f"u{x}" for x in random.integers(0, 5000, 200)]] for j, x in enumerate((w, [*w[: 200 - 3 * (i % 6)], *("x" * (1 + k) for k in range(3 * (i % 6)))]))]
+    half = [(30_000 + j, " ".join(w)) for j, w in enumerate(([f"t{x}" for x in range(400)], [f"t{x}" for x in range(150, 550)]))]
+    made = spark.createDataFrame(copies + near + half, "doc_id long, text string")
+    for df in (docs.select("doc_id", "text"), made):
+        sets = {r["doc_id"]: few(r["text"] or "") for r in df.collect()}
+        got = {r["id"]: r["component"] for r in S.near_components(df).collect()}
+        assert got.keys() == sets.keys()
+        ids, holders, loose = sorted(sets), defaultdict(set), defaultdict(set)
+        for d in ids:
+            for x in sets[d] or {None}:
+                holders[x].add(d)
+        for a in ids:
+            for b in set().union(*(holders[x] for x in sets[a] or {None})):
+                j = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) if sets[a] or sets[b] else 1.0
+                if j >= 0.77 and a != b:
+                    loose[a].add(b)
+                assert j < 0.83 or got[a] == got[b]
+        for d in ids:
+            assert got[d] <= d and (got[d] == d or loose[d] and any(got[x] == got[d] for x in loose[d]))
+    assert {got[d] for d, _ in copies} == {10_000} and got[30_001] == 30_001
+    assert S.near_components(empty).count() == 0 and S.simhash_dedup(empty).count() == 0
+    kept = S.simhash_dedup(odd)
+    assert kept.columns == odd.columns
+    # Nulls, blanks and empty texts are one group, and 5 to 7 and the row without id are too short to be alike; both rows of id 7 stay.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 7, 8, 9, None]))
 
 
 def test_crowded_buckets_lose_no_link(spark):
