@@ -139,39 +139,44 @@ def wide_bits(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _wide_fingerprints(size: int):
-    """id, class (a hash of the shingle set), n (its size), bits (longs) and keys (number and value of each block)."""
+    """id, class (a hash of the shingle set), n (its size) and bits (longs)."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        count = WIDE // BLOCK_BITS
-        power, number = 1 << np.arange(BLOCK_BITS, dtype=np.int64), np.arange(count, dtype=np.int64) << BLOCK_BITS
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 sets = [np.unique(shingles(words((t.as_py() or "").encode("utf-8", "replace"))[0], size)) for t in part.column(1)]
-                bits = wide_bits(sets)
-                keys = bits[:, : count * BLOCK_BITS].reshape(len(sets), count, BLOCK_BITS) @ power + number
-                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (packed, keys)]
+                packed = np.packbits(wide_bits(sets), axis=1, bitorder="little").view(np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel()))
                 cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), *lists], ["id", "class", "n", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), bits], ["id", "class", "n", "bits"])
 
     return run
 
 
+def block_key(number: int):
+    """Number and value of a block of bits; it may reach into the next long."""
+    word, at = divmod(number * BLOCK_BITS, 64)
+    value = F.shiftrightunsigned(F.col("bits")[word], at)
+    if at + BLOCK_BITS > 64:
+        value = value.bitwiseOR(F.shiftleft(F.col("bits")[word + 1], 64 - at))
+    return value.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).bitwiseOR(F.lit(number << BLOCK_BITS))
+
+
 def wide_links(classes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, cap: int = PAIR_CAP) -> DataFrame:
-    """a, b: verified pairs of classes (class, n, bits, keys) that share a block."""
-    rows = classes.select("class", F.explode("keys").alias("key"))
+    """a, b: verified pairs of classes (class, n, bits) that share a block."""
+    # Dealt by key once: both uses below read the same exchange.
+    rows = classes.select("class", F.explode(F.array(*[block_key(i) for i in range(WIDE // BLOCK_BITS)])).alias("key")).repartition("key")
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("a"), F.max("class").alias("b")).where("size > 1")
-    full = scratch.keep(full)  # as a table, so that AQE can split a crowded block in the joins
-    members = scratch.keep(rows.join(full.where("size > 2"), "key"))
-    few = members.where(F.col("size") <= cap)
+    members = scratch.keep(rows.join(full, "key").where("size > 2 or class = a"))  # of two classes, one row says it all
+    few = members.where(F.col("size").between(3, cap))
     inside = few.select("key", F.col("class").alias("a")).join(few.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b")
     crowd = members.where(F.col("size") > cap)
     spokes = crowd.select("a", F.col("class").alias("b")).unionByName(crowd.select(F.col("class").alias("a"), "b")).where("a <> b")
-    pairs = scratch.keep(full.where("size = 2").select("a", "b").unionByName(inside).unionByName(spokes).distinct())
+    pairs = scratch.keep(members.where("size = 2").select("a", "b").unionByName(inside).unionByName(spokes).distinct())
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     # The sizes alone rule a pair out if the smaller set is less than the wanted share of the larger.
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
@@ -184,10 +189,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, component: the smallest id reachable over links of the similarity of shingle sets or more, of each row."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = scratch.keep(texts.mapInArrow(_wide_fingerprints(size), "id long, class long, n long, bits array<long>, keys array<long>"))
+    rows = scratch.keep(texts.mapInArrow(_wide_fingerprints(size), "id long, class long, n long, bits array<long>"))
     # Equal sets have equal bits, so any one row of a class stands for it; the ids alone are grouped.
     least = scratch.keep(rows.groupBy("class").agg(F.min("id").alias("first")))
-    classes = scratch.keep(rows.join(least, "class").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["class"]).select("class", "n", "bits", "keys"))
+    classes = scratch.keep(rows.join(least, "class").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["class"]).select("class", "n", "bits"))
     comp = connected_components(scratch.keep(wide_links(classes, scratch, similarity)), scratch)
     rooted = scratch.keep(least.join(comp, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
