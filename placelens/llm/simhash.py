@@ -10,7 +10,8 @@ exactly if they share a centre, and a centre has 27 classes at most, so this los
 The corpus stage (simhash_dedup) looks for a Jaccard similarity of 0.8 of the sets of five-word shingles. That is about 10 of 64 bits, too many for blocks that tell
 documents apart. So it takes fingerprints of WIDE bits: the signs of random projections of the shingle set (a signed count in WIDE cells, then two Hadamard transforms with random
 signs), split into 170 blocks of 24 bits. A pair at 0.8 agrees on a given bit with probability 0.85, so on one block at least with 0.96; at 0.85 with 0.998. Texts of equal
-sets are one class. Classes that share a block are compared in pairs; in a block value of over PAIR_CAP classes, each with the least and the greatest class there. All these
+sets are one class. Each class is compared with the least class of each of its block values, and the links give components; then all pairs that share a block and aren't
+of one component yet are compared, however many classes the block value has. So no pair that shares a block goes unseen, and copies of one text make no pairs. All these
 pairs are verified by their Hamming distance, which with the sizes of the sets gives their similarity to about 0.013. Components of the verified links are the groups.
 
 Null texts are empty ones; a text without words has fingerprint zero, or an empty set of shingles, and is linked as any other. Rows of equal id are rows of one
@@ -30,7 +31,7 @@ from .shared import Scratch
 from .textkit import blocks, mix64, shingles, words
 
 BITS, BLOCKS, DISTANCE, PAIR_CAP = 64, 5, 2, 64
-WIDE, BLOCK_BITS, SHINGLE, SIMILARITY = 4096, 24, 5, 0.8
+WIDE, BLOCK_BITS, SHINGLE, SIMILARITY, SUB_BLOCK = 4096, 24, 5, 0.8, 512
 SEED = 42
 
 
@@ -166,23 +167,39 @@ def block_key(number: int):
     return value.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).bitwiseOR(F.lit(number << BLOCK_BITS))
 
 
-def wide_links(classes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, cap: int = PAIR_CAP) -> DataFrame:
-    """a, b: verified pairs of classes (class, n, bits) that share a block."""
+def crossing(members: DataFrame, comp: DataFrame, scratch: Scratch, sub: int = SUB_BLOCK) -> DataFrame:
+    """a, b: all pairs of classes that share a key and aren't of one component yet. In each key, those outside its largest component meet all, in sub-blocks of about sub rows on either side."""
+    rooted = scratch.keep(members.join(comp, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root")))
+    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("roots"))
+    split = lambda c: F.ceil(c / sub).cast("int")
+    mixed = counts.where("roots > 1").select("key", F.col("m.root").alias("main"), split(F.col("total") - F.col("m.c")).alias("n_i"), split(F.col("total")).alias("n_j"))
+    rows = scratch.keep(rooted.join(mixed, "key"))
+    part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = rows.where("root <> main").select("key", "main", F.col("class").alias("a"), F.col("root").alias("root_a"), part("n_i").alias("i"), each("n_j").alias("j"))
+    all_ = rows.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"), part("n_j").alias("j"), each("n_i").alias("i"))
+    met = out.join(all_, ["key", "i", "j"]).where("root_a <> root_b and (root_b = main or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def wide_links(classes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: verified pairs of classes (class, n, bits) that share a block; enough that each linked pair is connected by them."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # The sizes alone rule a pair out if the smaller set is less than the wanted share of the larger.
+        both = scratch.keep(pairs).join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        shared = F.cos(apart * F.lit(np.pi / WIDE)) * F.sqrt(F.col("n_a") * F.col("n_b"))
+        return scratch.keep(both.where(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
+
     # Dealt by key once: both uses below read the same exchange.
     rows = classes.select("class", F.explode(F.array(*[block_key(i) for i in range(WIDE // BLOCK_BITS)])).alias("key")).repartition("key")
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("a"), F.max("class").alias("b")).where("size > 1")
-    members = scratch.keep(rows.join(full, "key").where("size > 2 or class = a"))  # of two classes, one row says it all
-    few = members.where(F.col("size").between(3, cap))
-    inside = few.select("key", F.col("class").alias("a")).join(few.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b")
-    crowd = members.where(F.col("size") > cap)
-    spokes = crowd.select("a", F.col("class").alias("b")).unionByName(crowd.select(F.col("class").alias("a"), "b")).where("a <> b")
-    pairs = scratch.keep(members.where("size = 2").select("a", "b").unionByName(inside).unionByName(spokes).distinct())
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    # The sizes alone rule a pair out if the smaller set is less than the wanted share of the larger.
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    shared = F.cos(apart * F.lit(np.pi / WIDE)) * F.sqrt(F.col("n_a") * F.col("n_b"))
-    return both.where(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("a")).where("size > 1")
+    members = scratch.keep(rows.join(full, "key").where("size > 2 or class <> a"))  # of two classes, one row says it all
+    stars = verified(members.where("class <> a").select("a", F.col("class").alias("b")).distinct())
+    comp = scratch.keep(connected_components(stars, scratch))
+    return stars.unionByName(verified(crossing(members.where("size > 2"), comp, scratch)))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -170,6 +170,22 @@ def test_near_duplicates(spark, odd, empty, docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 7, 8, 9, None]))
 
 
+def test_crowded_block_value_loses_no_pair(spark):
+    """200 classes share one block value; ten pairs of them are alike and share no other."""
+    from placelens.llm.shared import Scratch
+
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 2, (200, S.WIDE), dtype=np.uint8)
+    for i in range(10):
+        bits[101 + 2 * i] = bits[100 + 2 * i]
+        bits[101 + 2 * i, 5 :: S.BLOCK_BITS] ^= 1
+    bits[:, : S.BLOCK_BITS] = bits[0, : S.BLOCK_BITS]
+    packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    df, scratch = spark.createDataFrame([(i, 100, x.tolist()) for i, x in enumerate(packed)], "class long, n long, bits array<long>"), Scratch(spark)
+    pairs = {(100 + 2 * i, 101 + 2 * i) for i in range(10)}
+    assert {(r["a"], r["b"]) for r in S.wide_links(df, scratch).collect()} == pairs
+
+
 def test_crowded_buckets_lose_no_link(spark):
     """Centres in place of pairs give the same components."""
     from placelens.llm.components import connected_components
