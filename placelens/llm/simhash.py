@@ -11,8 +11,10 @@ The corpus stage (simhash_dedup) looks for a Jaccard similarity of 0.8 of the se
 documents apart. So it takes fingerprints of WIDE bits: the signs of random projections of the shingle set (a signed count in WIDE cells, then two Hadamard transforms with random
 signs), split into 170 blocks of 24 bits. A pair at 0.8 agrees on a given bit with probability 0.85, so on one block at least with 0.96; at 0.85 with 0.998. Texts of equal
 sets are one class. Each class is compared with the least class of each of its block values, and the links give components; then all pairs that share a block and aren't
-of one component yet are compared, however many classes the block value has. So no pair that shares a block goes unseen, and copies of one text make no pairs. All these
-pairs are verified by their Hamming distance, which with the sizes of the sets gives their similarity to about 0.013. Components of the verified links are the groups.
+of one component yet are compared, however many classes the block value has. So no pair that shares a block goes unseen, and copies of one text make no pairs. The Hamming
+distance, with the sizes of the sets, estimates a pair's similarity to about 0.013. It only rules out pairs that it puts MARGIN below the wanted one, and none with a set of under SMALL
+shingles; the others are linked if their sets of shingles, as 64-bit hashes, have the similarity. A set too small for a near-duplicate (one of three shingles has 3/4 at most) is
+linked to its equals only. Components of the verified links are the groups.
 
 Null texts are empty ones; a text without words has fingerprint zero, or an empty set of shingles, and is linked as any other. Rows of equal id are rows of one
 document. Rows without an id link as others do, but never name a component. A component without any id has a null one.
@@ -32,6 +34,7 @@ from .textkit import blocks, mix64, shingles, words
 
 BITS, BLOCKS, DISTANCE, PAIR_CAP = 64, 5, 2, 64
 WIDE, BLOCK_BITS, SHINGLE, SIMILARITY, SUB_BLOCK = 4096, 24, 5, 0.8, 512
+MARGIN, SMALL = 0.1, 64
 SEED = 42
 
 
@@ -182,24 +185,64 @@ def crossing(members: DataFrame, comp: DataFrame, scratch: Scratch, sub: int = S
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def wide_links(classes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: verified pairs of classes (class, n, bits) that share a block; enough that each linked pair is connected by them."""
+def wide_links(classes: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, exact=None) -> DataFrame:
+    """a, b: pairs of classes (class, n, bits) that share a block and pass exact (a function of the pairs a, b); enough that each linked pair is connected by them.
+    Without exact the estimate alone decides."""
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    least = similarity - MARGIN if exact else similarity
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         # The sizes alone rule a pair out if the smaller set is less than the wanted share of the larger.
         both = scratch.keep(pairs).join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         shared = F.cos(apart * F.lit(np.pi / WIDE)) * F.sqrt(F.col("n_a") * F.col("n_b"))
-        return scratch.keep(both.where(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
+        close = shared >= least * (F.col("n_a") + F.col("n_b") - shared)
+        return scratch.keep(both.where((F.least("n_a", "n_b") < SMALL) | close if exact else close).select("a", "b"))
 
+    # A set of so few shingles that one more or less is too much has no partner but its equals, which are its class.
+    some = classes.where(F.col("n") >= similarity * (F.col("n") + 1))
     # Dealt by key once: both uses below read the same exchange.
-    rows = classes.select("class", F.explode(F.array(*[block_key(i) for i in range(WIDE // BLOCK_BITS)])).alias("key")).repartition("key")
+    rows = some.select("class", F.explode(F.array(*[block_key(i) for i in range(WIDE // BLOCK_BITS)])).alias("key")).repartition("key")
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("a")).where("size > 1")
     members = scratch.keep(rows.join(full, "key").where("size > 2 or class <> a"))  # of two classes, one row says it all
-    stars = verified(members.where("class <> a").select("a", F.col("class").alias("b")).distinct())
-    comp = scratch.keep(connected_components(stars, scratch))
-    return stars.unionByName(verified(crossing(members.where("size > 2"), comp, scratch)))
+    stars = likely(members.where("class <> a").select("a", F.col("class").alias("b")).distinct())
+    # One pair of each class first: most others are of one component then, and need no comparison of their sets.
+    links = scratch.keep(exact(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))) if exact else stars
+    comp = scratch.keep(connected_components(links, scratch))
+    more = likely(crossing(members.where("size > 2"), comp, scratch))
+    if exact:
+        root = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        rest = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        more = scratch.keep(exact(more.unionByName(rest).distinct()))
+    return links.unionByName(more)
+
+
+def _shingle_sets(size: int):
+    """class and its set of shingle hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                sets = [np.unique(shingles(words((t.as_py() or "").encode("utf-8", "replace"))[0], size)) for t in b.column(1).slice(i, 64)]
+                cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "set"])
+
+    return run
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, least: DataFrame, scratch: Scratch, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose sets of shingles have the similarity or more. Only the texts of these classes (least: class, first id) are read again."""
+    pairs = scratch.keep(pairs)
+    named = scratch.keep(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(least, "class"))
+    own = texts.join(named.where("first is not null").select(F.col("first").alias("id")).distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
+    sets = own.mapInArrow(_shingle_sets(size), "class long, set array<long>").join(named.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    sets = scratch.keep(sets)
+    side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
+    return both.where(F.col("shared") >= similarity * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -210,7 +253,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets have equal bits, so any one row of a class stands for it; the ids alone are grouped.
     least = scratch.keep(rows.groupBy("class").agg(F.min("id").alias("first")))
     classes = scratch.keep(rows.join(least, "class").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["class"]).select("class", "n", "bits"))
-    comp = connected_components(scratch.keep(wide_links(classes, scratch, similarity)), scratch)
+    exact = lambda pairs: exact_links(pairs, texts, least, scratch, size, similarity)
+    comp = connected_components(scratch.keep(wide_links(classes, scratch, similarity, exact)), scratch)
     rooted = scratch.keep(least.join(comp, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
     return rows.select("id", "class").join(scratch.keep(named), "class").select("id", "component")

@@ -186,6 +186,20 @@ def test_crowded_block_value_loses_no_pair(spark):
     assert {(r["a"], r["b"]) for r in S.wide_links(df, scratch).collect()} == pairs
 
 
+def test_short_texts_that_share_a_print_stay(spark):
+    """Texts of one shingle with equal bits, and of four and five shingles at 0.8 and under it."""
+    one = defaultdict(list)
+    for i in range(600):
+        h = int(textkit.shingles(textkit.words(f"only {i}".encode())[0], S.SHINGLE)[0])
+        one[h % S.WIDE, h >> 32 & 1].append(i)
+    clash = [i for x in one.values() if len(x) > 1 for i in x]
+    assert len(clash) > 10
+    rows = [(i, f"only {i}") for i in clash] + [(1000, "a b c d e f g h"), (1001, "a b c d e f g h i"), (1002, "k l m n o p q"), (1003, "k l m n o p q r")]
+    got = {r["id"]: r["component"] for r in S.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == d for d in got if d not in (1000, 1001))
+    assert got[1001] == got[1000] == 1000
+
+
 def test_crowded_buckets_lose_no_link(spark):
     """Centres in place of pairs give the same components."""
     from placelens.llm.components import connected_components
