@@ -118,27 +118,51 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs in order, those that touch in both texts as one."""
+    out: list = []
+    for i, j, n in runs:
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + n)
+        else:
+            out.append((i, j, n))
+    return out
+
+
+def of_chain(b: np.ndarray, a: np.ndarray, runs: list[tuple[int, int, int]], min_words: int, least: float):
+    """(b0, b1, a0, a1, similarity) of a chain of runs: its ends are cut until the rest is alike; then what was cut off is a chain of its own. Each run of min_words or more is a passage."""
+    todo, out = [runs], []
+    while todo:
+        whole = todo.pop()
+        lo, hi = 0, len(whole)
+        while lo < hi:
+            (b0, a0, _), (b1, a1, n) = whole[lo], whole[hi - 1]
+            if min(b1 - b0, a1 - a0) + n < min_words:
+                break
+            s = similarity(b[b0 : b1 + n], a[a0 : a1 + n])
+            if s >= least:
+                out.append((b0, b1 + n, a0, a1 + n, s))
+                break
+            lo, hi = (lo + 1, hi) if whole[lo][2] < n else (lo, hi - 1)
+        todo += [x for x in (whole[:lo], whole[hi:]) if x]
+    out += [(i, i + n, j, j + n, 1.0) for i, j, n in runs if n >= min_words and not any(b0 <= i and i + n <= b1 and a0 <= j and j + n <= a1 for b0, b1, a0, a1, _ in out)]
+    return out
+
+
 def passages(b: np.ndarray, a: np.ndarray, pairs, min_words: int = MIN_WORDS, least: float = SIMILARITY):
-    """(b0, b1, a0, a1, similarity) in words, from pairs of positions that agree."""
-    seen, out = [], []
+    """(b0, b1, a0, a1, similarity) in words, from pairs of positions that agree. A pair on a run that was looked at, of the same offset, has nothing new."""
+    seen, out = {}, []
     for i, j in pairs:
-        if any(b0 <= i < b1 and a0 <= j < a1 for b0, b1, a0, a1 in seen[-8:]):
+        if any(x <= i < y for x, y in seen.get(i - j, ())):
             continue
         right = [(i + p, j + q, n) for p, q, n in follow(b[i:], a[j:])]
         left = [(i - p - n, j - q - n, n) for p, q, n in follow(b[:i][::-1], a[:j][::-1])][::-1]
-        runs = left + right
-        if not runs:
-            continue
-        seen.append((runs[0][0], runs[-1][0] + runs[-1][2], runs[0][1], runs[-1][1] + runs[-1][2]))
-        while runs:
-            b0, b1, a0, a1 = runs[0][0], runs[-1][0] + runs[-1][2], runs[0][1], runs[-1][1] + runs[-1][2]
-            if min(b1 - b0, a1 - a0) < min_words:
-                break
-            s = similarity(b[b0:b1], a[a0:a1])
-            if s >= least:
-                out.append((b0, b1, a0, a1, s))
-                break
-            runs = runs[1:] if runs[0][2] < runs[-1][2] else runs[:-1]
+        runs = joined(left + right)
+        for x, y, n in runs:
+            seen.setdefault(x - y, []).append((x, x + n))
+        for p in of_chain(b, a, runs, min_words, least):
+            if not any(b0 <= p[0] and p[1] <= b1 and a0 <= p[2] and p[3] <= a1 for b0, b1, a0, a1, _ in out):
+                out.append(p)
     return out
 
 

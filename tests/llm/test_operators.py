@@ -246,6 +246,18 @@ def test_short_repeat_hides_no_longer_one(spark):
     assert got == {(t + 2, t + 1) for t in range(0, 90, 3)} | {(91, 90)}
 
 
+def test_no_exact_passage_is_cut_from_its_chain():
+    """A passage and a shorter one behind a gap, two passages around a gap, and a gap on either side; from anchors at any place."""
+    for lengths in ((54, 20), (50, 50), (20, 54, 20), (50, 12, 50), (12, 50, 12, 50, 12)):
+        own = lambda k: np.concatenate([x for r, n in enumerate(lengths) for x in (1000 * (r + 1) + np.arange(n), 100_000 * k + 100 * r + np.arange(8))]).astype(np.uint64)  # noqa: B023, E731
+        a, b = own(1), own(2)
+        starts = np.cumsum([0, *(n + 8 for n in lengths[:-1])])
+        for first in range(lengths[0]):
+            got = D.passages(b, a, [(first, first), *((int(s), int(s)) for s in starts)])
+            for s, n in zip(starts, lengths, strict=True):
+                assert n < 50 or any(b0 <= s and s + n <= b1 for b0, b1, *_ in got)
+
+
 def test_compact_windows_cover_each_passage():
     h = textkit.mix64(np.arange(200, dtype=np.uint64) % np.uint64(60))
     found = list(D.compact_windows(h, 10))
