@@ -33,6 +33,13 @@ def test_query_without_sql_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_trips_are_all_orders(spark, sf, duck):
+    want = dict(duck.sql("select l_orderkey, count(*) from lineitem group by 1").fetchall())
+    for name in ("nearest_neighbour_route", "trip_schedule"):
+        got = catalog.QUERIES[name](spark, sf).groupBy("trip_id").count().collect()
+        assert {r["trip_id"]: r["count"] for r in got} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
