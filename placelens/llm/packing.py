@@ -1,13 +1,20 @@
 """Packing of token documents into sequences of a fixed size, by the online sum-of-squares rule.
 
-A document's ids, with an end id, are cut into whole sequences and a rest. A rest of s ids goes to the fill level h <= size - s for which
-the sum over levels of the squared number of open sequences at that level grows least: a level array N holds those
-numbers, and the move from h to h + s changes the sum by 2 (N[h + s] - N[h]) + 2, opening a new sequence by 2 N[s] + 1. Cutting is free:
-what is open at a task's end, or beyond OPEN_CAP open sequences, is run together and cut anew, so a task leaves one unfull sequence.
-
-Each scan task packs its own rows in order, in one pass without a shuffle, so a lost task is repeated alone; memory is one document plus
-OPEN_CAP open sequences. A sequence id is the task's number times 2^40 plus a count. Null texts are empty ones (the end id alone); rows of equal id are
-packed each for itself. An empty table gives an empty result. Sequences are full but for the last of each task; that last one is padded to the
+A document's ids, with an end id, are cut into whole sequences and a rest. The level array N holds how many open sequences are filled to each level; a rest of s ids
+takes the move for which the sum of the squares of N grows least:
+
+* to a level h <= size - s: 2 (N[h + s] - N[h]) + 2, or 1 - 2 N[h] where it fills the sequence;
+* a new sequence: 2 N[s] + 1.
+
+Ties go to the fuller level. The rule never cuts a rest. A piece's place is known when it is placed, so its row goes out at once; of an open sequence only its number
+is kept, in its level's stack, so open sequences need no cap.
+
+The end of a task: the last documents, as many as hold the ids that the open sequences lack at the time, wait in a queue. When the rows end, they're cut to fill the open
+sequences, fullest first, and then new ones, so each task leaves one unfull sequence (more only where its whole input is less than the queue).
+
+Each scan task packs its own rows in order, in one pass without a shuffle, so a lost task is repeated alone; memory is one document, the queue (SIZE ids
+for each open sequence at most: 212,000 in a task of 40 million) and the level stacks. A sequence id is the task's number times 2^40 plus a count. Null texts are empty ones (the end id alone); rows of equal id are
+packed each for itself, rows without an id too. An empty table gives an empty result. The last sequence of a task is padded to the
 size by whoever writes tensors, unless its length is a power of two.
 """
 
@@ -15,6 +22,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import process_cache
 
-SIZE, END_ID, OPEN_CAP = 1024, 0, 2048
+SIZE, END_ID, FAR = 1024, 0, np.iinfo(np.int64).max
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -60,75 +68,69 @@ class ByteBpe:
 
 
 class Packer:
-    """finished: pieces (doc, start, ids, doc_tokens, sequence, offset) of closed sequences."""
+    """rows: pieces (doc, start, ids, doc_tokens, sequence, offset) that were placed since they were last taken."""
 
-    def __init__(self, size: int, first: int, open_cap: int = OPEN_CAP):
-        self.size, self.next, self.cap = size, first, open_cap
+    def __init__(self, size: int, first: int):
+        self.size, self.next = size, first
         self.levels = np.zeros(size + 1, np.int64)
-        self.open: list[list] = [[] for _ in range(size)]  # by level: sequences, each a list of pieces
-        self.n_open, self.finished = 0, []
-
-    def close(self, pieces: list) -> None:
-        at = 0
-        for doc, start, ids, total in pieces:
-            self.finished.append((doc, start, ids, total, self.next, at))
-            at += len(ids)
+        self.open: list[list[int]] = [[] for _ in range(size)]  # by level: numbers of sequences
+        self.lacking, self.waiting, self.queue, self.rows = 0, 0, deque(), []
+
+    def put(self, doc, start: int, ids: np.ndarray, total: int, sequence: int, offset: int) -> None:
+        """Places a piece, and the sequence at its new level."""
+        self.rows.append((doc, start, ids, total, sequence, offset))
+        level = offset + len(ids)
+        self.lacking += (self.size - level) - (self.size - offset if offset else 0)
+        if level < self.size:
+            self.open[level].append(sequence)
+            self.levels[level] += 1
+
+    def take(self, level: int) -> int:
+        """The number of an open sequence at the level, or of a new one at level 0."""
+        if level:
+            self.levels[level] -= 1
+            return self.open[level].pop()
         self.next += 1
+        return self.next - 1
+
+    def move(self, s: int) -> int:
+        """The level to put a rest of s ids at."""
+        n, size = self.levels, self.size
+        cost = 2 * (n[s:] - n[: size + 1 - s]) + 2
+        cost[-1] = 1 - 2 * n[size - s]
+        cost[n[: size + 1 - s] == 0] = FAR
+        cost[0] = 2 * n[s] + 1
+        return len(cost) - 1 - int(np.argmin(cost[::-1]))
 
-    def add(self, doc, ids: np.ndarray) -> None:
+    def place(self, doc, ids: np.ndarray) -> None:
         total, at = len(ids), 0
         while total - at >= self.size:
-            self.close([(doc, at, ids[at : at + self.size], total)])
+            self.put(doc, at, ids[at : at + self.size], total, self.take(0), 0)
             at += self.size
-        s = total - at
-        if not s:
-            return
-        piece = (doc, at, ids[at:].copy(), total)
-        n = self.levels
-        # Growth of the sum of squares by the level that the piece goes to; full sequences leave the array.
-        cost = 2 * (n[s : self.size + 1] - n[: self.size + 1 - s]) + 2
-        cost[-1] = 1 - 2 * n[self.size - s]
-        cost[n[: self.size + 1 - s] == 0] = np.iinfo(np.int64).max
-        cost[0] = 2 * n[s] + 1
-        h = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        if h:
-            pieces = self.open[h].pop()
-            n[h] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if h + s == self.size:
-            self.close(pieces)
-        else:
-            self.open[h + s].append(pieces)
-            n[h + s] += 1
-            self.n_open += 1
-            if self.n_open > self.cap:
-                self.run_together(False)
-
-    def run_together(self, last: bool) -> None:
-        """All open sequences become full ones and a rest, by cutting."""
-        rest, fill = [], 0
-        for level in range(self.size - 1, 0, -1):
-            for pieces in self.open[level]:
-                for doc, start, ids, total in pieces:
-                    at = 0
-                    while at < len(ids):
-                        take = min(self.size - fill, len(ids) - at)
-                        rest.append((doc, start + at, ids[at : at + take], total))
-                        at, fill = at + take, fill + take
-                        if fill == self.size:
-                            self.close(rest)
-                            rest, fill = [], 0
-            self.open[level] = []
-        self.levels[:] = 0
-        self.n_open = 0
-        if rest and last:
-            self.close(rest)
-        elif rest:
-            self.open[fill].append(rest)
-            self.levels[fill], self.n_open = 1, 1
+        if at < total:
+            level = self.move(total - at)
+            self.put(doc, at, ids[at:], total, self.take(level), level)
+
+    def add(self, doc, ids: np.ndarray) -> None:
+        """The document waits until those behind it hold all that the open sequences lack."""
+        self.queue.append((doc, ids))
+        self.waiting += len(ids)
+        while self.waiting - len(self.queue[0][1]) >= self.lacking + 2 * self.size:
+            first = self.queue.popleft()
+            self.waiting -= len(first[1])
+            self.place(*first)
+
+    def finish(self) -> None:
+        """The waiting documents fill the open sequences, and new ones, by cutting."""
+        for doc, ids in self.queue:
+            at = 0
+            while at < len(ids):
+                top = np.flatnonzero(self.levels[: self.size])
+                level = int(top[-1]) if len(top) else 0
+                n = min(self.size - level, len(ids) - at)
+                self.put(doc, at, ids[at : at + n], len(ids), self.take(level), level)
+                at += n
+        self.queue.clear()
 
 
 def _pack(path: str | None, size: int, end_id: int, with_ids: bool):
@@ -141,10 +143,10 @@ def _pack(path: str | None, size: int, end_id: int, with_ids: bool):
         packer = Packer(size, (context.partitionId() if context else 0) << 40)
 
         def out():
-            rows, packer.finished = packer.finished, []
+            rows, packer.rows = packer.rows, []
             crc = [zlib.crc32(r[2].astype("<u4").tobytes()) for r in rows]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], crc, [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]]
-            arrays = [pa.array(c, pa.int64()) for c in cols]
+            doc, start, ids, total, sequence, offset = zip(*rows, strict=True) if rows else [()] * 6
+            arrays = [pa.array(c, pa.int64()) for c in (doc, start, list(map(len, ids)), crc, total, sequence, offset)]
             names = SCHEMA.replace(" long", "").split(", ")
             if with_ids:
                 arrays, names = [*arrays, pa.array([r[2].astype(np.int64) for r in rows], pa.list_(pa.int64()))], [*names, "ids"]
@@ -153,9 +155,9 @@ def _pack(path: str | None, size: int, end_id: int, with_ids: bool):
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1), strict=True):
                 packer.add(doc.as_py(), np.append(bpe.encode(text.as_py() or ""), np.uint32(end_id)))
-                if len(packer.finished) >= 4096:
+                if len(packer.rows) >= 4096:
                     yield out()
-        packer.run_together(True)
+        packer.finish()
         yield out()
 
     return run
