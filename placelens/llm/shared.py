@@ -12,36 +12,55 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session names none (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir. A local session (tests) that names none gets a temporary one; on a cluster that is an error, as executors wouldn't share it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placelens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written in the shared folder, so that later stages neither recompute them nor depend on one executor."""
+    """Tables written in the shared folder, so that later stages neither recompute them nor depend on one executor. They stay until close(), as lazy results read them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/placelens-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame, partition_by: str | None = None) -> str:
+    def path(self) -> str:
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        return f"{self.root}/{self.n}"
+
+    def write(self, df: DataFrame, partition_by: str | None = None) -> str:
+        path = self.path()
         (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
         return path
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.write(df))
 
+    def bucketed(self, df: DataFrame, buckets: int, *keys: str) -> str:
+        """The name of a table in the shared folder, bucketed and sorted by the keys: merges by them need no exchange."""
+        path, name = self.path(), f"placelens_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+        self.tables = {**getattr(self, "tables", {}), name: path}
+        return name
+
+    def drop_table(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        self.drop(self.tables.pop(name))
+
     def drop(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    def __del__(self):  # pragma: no cover - the tables stay until the session ends, as lazy results read them
-        pass
+    def close(self) -> None:
+        """Deletes all tables. For whoever has written the results that read them."""
+        for name in list(getattr(self, "tables", {})):
+            self.drop_table(name)
+        self.drop(self.root)
 
 
 def process_cache(key, make):
