@@ -71,6 +71,25 @@ def process_cache(key, make):
     return cache[key]
 
 
+#: A key in more rows than HOT_ROWS is split over tasks; where that would be more than HOT_KEYS keys, the limit is the rows' HOT_KEYS-th part, so there never are more.
+HOT_ROWS, HOT_KEYS = 20_000, 10_000
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, keep_n: bool = False) -> DataFrame:
+    """rows joined with one by key. one has a row for each key, with n, the number of rows that hold it. The rows of a hot key are dealt by a hash of `by` over as many parts
+    as it needs, and its row of `one` is copied to each; only the hot keys are broadcast, HOT_KEYS at most."""
+    limit = max(HOT_ROWS, (one.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = one.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    if not keep_n:
+        one = one.drop("n")
+    if hot.isEmpty():
+        return rows.join(one, key)
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copies = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"]).drop("__part")
+
+
 def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns id, text and row (all columns as a struct), so that no column of the input can clash with an operator's own."""
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -4,18 +4,22 @@ A document is its sequence of 5-word shingles. For each of FUNCTIONS hash functi
 the node at c spans [l, r], and all passages in [l, r] that hold c have the same min-hash, that of c. Only nodes at least as wide as the shortest
 passage matter, 2 / width of all, so a passage that two documents share has the same min-hash node in both, for each function whose minimum is not
 edited. The node is anchored by the 12 shingles (16 words) that begin at c and those that end at c, at least one of which an unedited passage holds.
+A row is an anchor's key with its window [l, r].
 
-Anchors are counted by hash over all documents; those of one document only go. The others point to the document of the smallest id that holds them (a star:
-rows in proportion to the anchors, not their pairs). All anchors of a document with the same other document, over all functions, are joined into intervals of both texts, so
-wide that they reach beyond the shortest passage on either side, and only these intervals of the texts are fetched. Each is verified: from an anchor, equal words are followed
+Windows are joined by key, as intervals: aligned at the anchor, the two must overlap by SIMILARITY of the shortest passage's words, or no passage around it can lie in both. Of all
+documents that hold a key, each is joined with the one of the smallest id (a star: rows in proportion to the anchors, not their pairs). All overlaps of a document with the same
+other document, over all functions, make one interval of either text, with MARGIN words around, and only these are fetched. Each is verified: from an anchor, equal words are followed
 both ways, over gaps of at most GAP words behind which 5 words agree; a passage counts from MIN_WORDS words and a Jaccard similarity of its shingles of SIMILARITY.
 
-A document of smallest id may hold an anchor without the passage around it, and hide that two others share all of it. So anchors that more documents hold, one of
-them without a found passage there, are looked up once more by all windows of MIN_WORDS words around them: documents that share such a key share the whole window.
-Hence each document that repeats MIN_WORDS words of one of smaller id is found.
+A document of smallest id may hold an anchor without the passage around it, and hide that two others share all of it. So the anchors without a found passage are joined once more among
+themselves, with the smallest document of those. What is left after that, where more documents hold the anchor, is looked up by all windows of MIN_WORDS words
+around it: documents that share such a key share the whole window. Hence each document that repeats MIN_WORDS words of one of smaller id is found.
 
-Words are runs of bytes other than [\\x20\\x09-\\x0D], A-Z lower-cased. Null texts are empty ones and have no passage. Rows without an id take no part and keep their text; rows of equal id
-should not occur (they're taken as copies of one document, and the first text is compared). Repeats within one document are left alone.
+A key that very many documents hold is split over tasks in each join (see shared.spread_join).
+
+Words are runs of bytes other than [\\x20\\x09-\\x0D], A-Z lower-cased. Null texts are empty ones and have no passage. Rows without an id take no part and keep their text. Rows of equal id
+are one document, whose text is the greatest of theirs; the passages are cut from rows with that text, and rows of that id with another text keep theirs. An empty table gives an
+empty result. Repeats within one document are left alone.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, packed, unpacked
+from .shared import Scratch, packed, spread_join, unpacked
 from .textkit import mix64, shingles, words
 
 SHINGLE, FUNCTIONS, CONTEXT, MIN_WORDS, SIMILARITY, GAP, MARGIN = 5, 2, 12, 50, 0.8, 8, 80
@@ -52,36 +56,46 @@ def char_offsets(data: bytes, at: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: str, min_words: int = MIN_WORDS, functions: int = FUNCTIONS):
-    """Key of each anchor (its 16 words), its first code point, and the interval of MARGIN words around it."""
+    """Of each anchor: key (its 16 words), first code point, first and end code point of the MARGIN words to either side (a near-duplicate passage may reach beyond a window whose own
+    minimum is edited), and the words of its window to the left of the anchor's first word and to its right."""
     data = text.encode("utf-8", "replace")
     none = np.zeros(0, np.int64)
     w, start, end = words(data)
     run = CONTEXT + SHINGLE - 1
     if len(w) < min_words:
-        return none, none, none, none
+        return (none,) * 6
     tokens, runs = shingles(w, SHINGLE), shingles(w, run)
-    at = set()
+    window: dict[int, tuple[int, int]] = {}
     for f in range(functions):
-        for _, c, _ in compact_windows(mix64(tokens + np.uint64((f + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)), min_words - SHINGLE + 1):
-            at.add(c)
-            at.add(c - CONTEXT + 1)
-    p = np.array(sorted(x for x in at if 0 <= x < len(runs)), np.int64)
+        salt = np.uint64((f + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        for l, c, r in compact_windows(mix64(tokens + salt), min_words - SHINGLE + 1):
+            for at in (c, c - CONTEXT + 1):
+                old = window.get(at, (l, r))
+                window[at] = (min(l, old[0]), max(r, old[1]))  # of two functions with one anchor, either window may hold the passage
+    p = np.array(sorted(x for x in window if 0 <= x < len(runs)), np.int64)
+    l, r = (np.array([window[x][k] for x in p.tolist()], np.int64) for k in (0, 1))
+    stop = r + SHINGLE  # the words of a window end behind its last shingle
     first, last = char_offsets(data, start), char_offsets(data, end)
-    return runs[p].view(np.int64), first[p], first[np.maximum(p - MARGIN, 0)], last[np.minimum(p + run + MARGIN, len(w)) - 1]
+    lo, hi = first[np.maximum(p - MARGIN, 0)], last[np.minimum(p + run + MARGIN, len(w)) - 1]
+    return runs[p].view(np.int64), first[p], lo, hi, p - l, stop - p
+
+
+ANCHORS = "id long, key long, pos int, lo int, hi int, left int, right int"
 
 
 def _anchors(min_words: int, functions: int):
     def run(batches):
         import pyarrow as pa
 
+        names = ["id", "key", "pos", "lo", "hi", "left", "right"]
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 found = [anchors(t.as_py() or "", min_words, functions) for t in part.column(1)]
                 n = np.array([len(x[0]) for x in found])
                 ids = part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
-                key, pos, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (pos, lo, hi))], ["id", "key", "pos", "lo", "hi"])
+                key, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.int64()), *(pa.array(x.astype(np.int32)) for x in rest)], names)
 
     return run
 
@@ -186,20 +200,21 @@ def _verify(min_words: int, least: float):
     return run
 
 
-def _pairs(rows: DataFrame, scratch: Scratch, wanted: str = "true") -> tuple[DataFrame, DataFrame]:
+def _pairs(rows: DataFrame, scratch: Scratch, overlap: int, wanted: str = "true") -> tuple[DataFrame, DataFrame]:
     """Rows whose key several documents hold, with the smallest of them; and each document's pair with each such document, with positions and intervals.
-    Only rows that are wanted look for a pair; all can be the other side of one."""
-    # As tables of one row a key, so that AQE can split the other side of each join where an anchor stands in very many documents.
-    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.expr(wanted)).alias("any"))
-    shared = scratch.keep(shared.where("first <> last and any").select("key", "first"))
-    held = scratch.keep(rows.join(shared, "key"))
-    sources = scratch.keep(held.where("id = first").groupBy("key").agg(F.min(F.struct("pos", "lo", "hi")).alias("s")))
-    linked = held.where("id <> first").where(wanted).join(sources, "key")
+    Only rows that are wanted look for a pair; all can be the other side of one. overlap: the words that two windows must share, aligned at the key."""
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.expr(wanted)).alias("any"), F.count(F.lit(1)).alias("n"))
+    shared = scratch.keep(shared.where("first <> last and any").select("key", "first", "n"))
+    held = scratch.keep(spread_join(rows, shared, "key", "id", keep_n=True))
+    source = F.min(F.struct("pos", "lo", "hi", "left", "right")).alias("s")
+    sources = scratch.keep(held.where("id = first").groupBy("key").agg(source, F.max("n").alias("n")))
+    linked = spread_join(held.where("id <> first").where(wanted).drop("n"), sources, "key", "id")
+    linked = linked.where(F.least("left", "s.left") + F.least("right", "s.right") >= overlap)
     pairs = linked.groupBy("id", F.col("first").alias("source")).agg(
         F.sort_array(F.collect_list(F.struct("pos", F.col("s.pos").alias("rpos")))).alias("pairs"),
         F.min("lo").alias("lo_b"), F.max("hi").alias("hi_b"), F.min("s.lo").alias("lo_a"), F.max("s.hi").alias("hi_a"),
     )
-    return held, scratch.keep(pairs)
+    return held.drop("n"), scratch.keep(pairs)
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -231,48 +246,79 @@ def _whole_windows(min_words: int):
                 around = p[:, None] - np.arange(min_words - CONTEXT - SHINGLE + 2)[None, :]
                 at = np.unique(around.ravel())
                 at = at[(at >= 0) & (at + min_words <= len(w))]
-                cols = [shingles(w, min_words)[at].view(np.int64), *(x.astype(np.int32) for x in (first[at], first[np.maximum(at - MARGIN, 0)], last[np.minimum(at + min_words + MARGIN, len(w)) - 1]))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), *map(pa.array, cols), pa.array(np.isin(at, around[bare]))], ["id", "key", "pos", "lo", "hi", "bare"])
+                lo, hi = first[np.maximum(at - MARGIN, 0)], last[np.minimum(at + min_words + MARGIN, len(w)) - 1]
+                cols = [shingles(w, min_words)[at].view(np.int64), *(x.astype(np.int32) for x in (first[at], lo, hi, np.zeros(len(at)), np.full(len(at), min_words)))]
+                ids = b.column(0).take(pa.array(np.full(len(at), i)))
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cols), pa.array(np.isin(at, around[bare]))], ["id", "key", "pos", "lo", "hi", "left", "right", "bare"])
 
     return run
 
 
-def _left_over(held: DataFrame, found: DataFrame) -> DataFrame:
-    """id, at (pos, bare): the anchors whose comparison with one place of one document may have missed another holder. Such a key stands in
-    two documents besides the smallest, or twice in that one, and one document at least has no found passage there: it is bare."""
+def _marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with other: of another document than the key's smallest, and bare: such a one without a found passage at its place."""
     spans = found.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document's own passages
     inside = F.coalesce(F.exists("spans", lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["end"])), F.lit(False))
-    marked = lambda rows: rows.join(spans, F.col("id") == F.col("of"), "left").select("key", "id", "pos", (F.col("id") != F.col("first")).alias("other"), ((F.col("id") != F.col("first")) & ~inside).alias("bare"))
+    other = F.col("id") != F.col("first")
+    return rows.join(spans, F.col("id") == F.col("of"), "left").withColumn("other", other).withColumn("bare", other & ~inside).drop("of", "spans")
+
+
+def _left_over(held: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, at (pos, bare): the anchors whose comparisons may have missed another holder. Such a key stands in
+    two documents besides the smallest, or twice in that one, and one document at least is bare."""
+    rows = scratch.keep(_marked(held, found).select("key", "id", "pos", "other", "bare"))
     other = F.when(F.col("other"), F.col("id"))
-    keys = marked(held).groupBy("key").agg(F.bool_or("bare").alias("any"), (F.min(other) < F.max(other)).alias("many"), F.count_if(~F.col("other")).alias("own"))
-    few = held.join(keys.where("any and (many or own > 1)").select("key"), "key")
-    return marked(few).groupBy("id").agg(F.collect_set(F.struct("pos", "bare")).alias("at"))
+    some = (F.bool_or("bare").alias("any"), (F.min(other) < F.max(other)).alias("many"), F.count_if(~F.col("other")).alias("own"), F.count(F.lit(1)).alias("n"))
+    keys = scratch.keep(rows.groupBy("key").agg(*some).where("any and (many or own > 1)").select("key", "n"))
+    return spread_join(rows, keys, "key", "id").groupBy("id").agg(F.collect_set(F.struct("pos", "bare")).alias("at"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS) -> DataFrame:
-    """id, source, start, end, source_start, source_end (code points), n_words, similarity: passages of a document that a document of smaller id holds."""
-    scratch = Scratch(docs.sparkSession)
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """id, text: a row for each id; and whether some id stands in several rows."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    rows = scratch.keep(texts.mapInArrow(_anchors(min_words, functions), "id long, key long, pos int, lo int, hi int"))
-    held, pairs = _pairs(rows, scratch)
+    repeat = not texts.groupBy("id").count().where("count > 1").isEmpty()
+    return (texts.groupBy("id").agg(F.max("text").alias("text")) if repeat else texts), repeat
+
+
+def _found(texts: DataFrame, min_words: int, similarity: float, functions: int) -> DataFrame:
+    scratch = Scratch(texts.sparkSession)
+    overlap = int(similarity * min_words)
+    rows = scratch.keep(texts.mapInArrow(_anchors(min_words, functions), ANCHORS))
+    held, pairs = _pairs(rows, scratch, overlap)
     found = scratch.keep(_compare(pairs, texts, min_words, similarity))
-    some = scratch.keep(texts.join(_left_over(held, found), "id"))
-    windows = scratch.keep(some.mapInArrow(_whole_windows(min_words), "id long, key long, pos int, lo int, hi int, bare boolean"))
-    _, more = _pairs(windows, scratch, "bare")
+    bare = scratch.keep(_marked(held, found).where("bare").select(*rows.columns))
+    _, pairs = _pairs(bare, scratch, overlap)
+    found = scratch.keep(found.unionByName(_compare(pairs, texts, min_words, similarity)))
+    some = scratch.keep(texts.join(_left_over(held, found, scratch), "id"))
+    windows = scratch.keep(some.mapInArrow(_whole_windows(min_words), ANCHORS + ", bare boolean"))
+    _, more = _pairs(windows, scratch, overlap, "bare")
     return found.unionByName(_compare(more, some.select("id", "text"), min_words, similarity)).distinct()
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS) -> DataFrame:
+    """id, source, start, end, source_start, source_end (code points), n_words, similarity: passages of a document that a document of smaller id holds."""
+    return _found(_texts(docs, id_col, text_col)[0], min_words, similarity, functions)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS) -> DataFrame:
     """The input's rows without their repeated passages; the document of the smallest id keeps a passage."""
     scratch = Scratch(docs.sparkSession)
-    found = repeated_passages(docs, id_col, text_col, **options)
-    spans = scratch.keep(found.groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
-    joined = packed(docs, id_col, text_col).join(spans, F.col("id") == F.col("of"), "left")
+    texts, repeat = _texts(docs, id_col, text_col)
+    found = _found(texts, min_words, similarity, functions)
+    spans = found.groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    if repeat:
+        spans = spans.join(texts.select(F.col("id").alias("of"), F.xxhash64("text").alias("hash")), "of")
+    spans = scratch.keep(spans)
+    same = (F.col("id") == F.col("of")) & (F.xxhash64("text") == F.col("hash")) if repeat else F.col("id") == F.col("of")
+    joined = packed(docs, id_col, text_col).join(spans, same, "left")
     # Spans are in order of their starts; each adds what lies between the furthest end so far and its own start.
+    piece = lambda begin, n: F.substring(F.col("text"), (begin + 1).cast("int"), n.cast("int"))
     state = F.aggregate(
         F.col("spans"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept")),
-        lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["kept"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))).alias("kept")),
-        lambda acc: F.concat(acc["kept"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["kept"], piece(acc["at"], F.greatest(s["start"] - acc["at"], F.lit(0)))).alias("kept"),
+        ),
+        lambda acc: F.concat(acc["kept"], piece(acc["at"], F.lit(2147483647))),
     )
     return unpacked(joined, docs.columns, text_col, F.when(F.col("spans").isNull(), F.col("text")).otherwise(state))
 
