@@ -111,6 +111,10 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+#: Gaps in either text that a chain may cross, small ones first.
+GAPS = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x + y), key=lambda g: (g[0] + g[1], g))
+
+
 def follow(b: np.ndarray, a: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs (at in b, at in a, length) from the start of both, over small gaps."""
     out, p, q = [], 0, 0
@@ -119,11 +123,13 @@ def follow(b: np.ndarray, a: np.ndarray) -> list[tuple[int, int, int]]:
         if n:
             out.append((p, q, n))
         p, q = p + n, q + n
-        near = [(x + y, x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x + y]
-        jump = next(((x, y) for _, x, y in sorted(near) if p + x + SHINGLE <= len(b) and q + y + SHINGLE <= len(a) and b[p + x] == a[q + y] and (b[p + x : p + x + SHINGLE] == a[q + y : q + y + SHINGLE]).all()), None)
-        if jump is None:
+        for x, y in GAPS:
+            i, j = p + x, q + y
+            if i + SHINGLE <= len(b) and j + SHINGLE <= len(a) and b[i] == a[j] and (b[i : i + SHINGLE] == a[j : j + SHINGLE]).all():
+                p, q = i, j
+                break
+        else:
             return out
-        p, q = p + jump[0], q + jump[1]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -163,23 +169,61 @@ def of_chain(b: np.ndarray, a: np.ndarray, runs: list[tuple[int, int, int]], min
     return out
 
 
-def passages(b: np.ndarray, a: np.ndarray, pairs, min_words: int = MIN_WORDS, least: float = SIMILARITY):
-    """(b0, b1, a0, a1, similarity) in words, from pairs of positions that agree. A pair on a run that was looked at, of the same offset, has nothing new."""
-    seen, out = {}, []
+def runs_at(b: np.ndarray, a: np.ndarray, pairs) -> list[tuple[int, int, int]]:
+    """The runs of equal words (at in b, at in a, length) around pairs of positions that agree, each once."""
+    out, seen = [], {}
     for i, j in pairs:
-        if any(x <= i < y for x, y in seen.get(i - j, ())):
+        own = seen.setdefault(i - j, [])
+        if any(x <= i < y for x, y in own):
+            continue
+        left, right = _equal(b[:i][::-1], a[:j][::-1]), _equal(b[i:], a[j:])
+        if left + right:
+            own.append((i - left, i + right))
+            out.append((i - left, j - left, left + right))
+    return out
+
+
+def cover(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The fewest runs that cover in b what all cover: a text that repeats one word or phrase agrees with another such at every shift."""
+    out, end, best, at = [], -1, None, 0
+    runs = sorted(runs)
+    while at < len(runs) or best:
+        # Of the runs that begin within what is covered (or right behind it), the one that reaches furthest.
+        while at < len(runs) and runs[at][0] <= end:
+            if best is None or runs[at][0] + runs[at][2] > best[0] + best[2]:
+                best = runs[at]
+            at += 1
+        if best is None or best[0] + best[2] <= end:
+            best = None
+            if at == len(runs):
+                break
+            end = runs[at][0]  # a gap: go on at the next run
             continue
-        right = [(i + p, j + q, n) for p, q, n in follow(b[i:], a[j:])]
-        left = [(i - p - n, j - q - n, n) for p, q, n in follow(b[:i][::-1], a[:j][::-1])][::-1]
-        runs = joined(left + right)
-        for x, y, n in runs:
-            seen.setdefault(x - y, []).append((x, x + n))
-        for p in of_chain(b, a, runs, min_words, least):
-            if not any(b0 <= p[0] and p[1] <= b1 and a0 <= p[2] and p[3] <= a1 for b0, b1, a0, a1, _ in out):
-                out.append(p)
+        out.append(best)
+        end, best = best[0] + best[2], None
     return out
 
 
+def passages(b: np.ndarray, a: np.ndarray, pairs, min_words: int = MIN_WORDS, least: float = SIMILARITY):
+    """(b0, b1, a0, a1, similarity) in words, from pairs of positions that agree: together they cover in b all exact passages, and the near-duplicate ones around all runs. None lies
+    in another."""
+    runs = runs_at(b, a, pairs)
+    exact = cover([r for r in runs if r[2] >= min_words])
+    out = [(i, i + n, j, j + n, 1.0) for i, j, n in exact]
+    inside = lambda x, y: any(b0 <= x and y <= b1 for b0, b1, *_ in out)
+    seen: dict[int, list] = {}
+    for i, j, n in exact + [r for r in runs if r[2] < min_words]:
+        if n < min_words and inside(i, i + n) or any(x <= i and i + n <= y for x, y in seen.get(i - j, ())):
+            continue
+        right = [(i + n + p, j + n + q, m) for p, q, m in follow(b[i + n :], a[j + n :])]
+        left = [(i - p - m, j - q - m, m) for p, q, m in follow(b[:i][::-1], a[:j][::-1])][::-1]
+        chain = joined([*left, (i, j, n), *right])
+        for x, y, m in chain:
+            seen.setdefault(x - y, []).append((x, x + m))
+        out += [p for p in of_chain(b, a, chain, min_words, least) if not inside(p[0], p[1])]
+    return [p for k, p in enumerate(out) if not any(q[0] <= p[0] and p[1] <= q[1] and (q[0] < p[0] or p[1] < q[1] or m < k) for m, q in enumerate(out))]
+
+
 def _verify(min_words: int, least: float):
     def run(batches):
         import pyarrow as pa
