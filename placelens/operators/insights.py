@@ -70,8 +70,10 @@ def concept_fields(folded: Column, language: str = "vi") -> Column:
     return F.struct(F.coalesce(label, general).alias("type"), named(CUSTOMERS, DEFAULTS["customers"][at]).alias("customers"), budget.alias("budget"), named(PRIORITIES, DEFAULTS["priorities"][at]).alias("priorities"))
 
 
-def complementary(category: Column, text: Column, direct: Column) -> Column:
-    """Supports a business without competing: folded category and text."""
+def complementary(category: Column, text: Column, direct: Column, has_intent: Column | None = None) -> Column:
+    """Supports a business without competing: folded category and text. Without an intent all do."""
+    if has_intent is not None:
+        return ~has_intent | complementary(category, text, direct)
     return ~direct & contains_any(F.concat_ws(" ", category, text), [plain(t) for t in SUPPORT])
 
 

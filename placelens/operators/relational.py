@@ -18,14 +18,19 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return top_per_group(df, keys, order, 1, "__first").drop("__first")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """Merge: values of new where they aren't null, else of old; columns in keep_old stay as they were first written."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str, ...] = ("created_at",), latest: list[Column] | None = None, set_nulls: bool = False) -> DataFrame:
+    """Merge: values of new where they aren't null (all of them with set_nulls), else of old; columns in keep_old stay as they were first written.
+    Of new rows of equal key the first in the order `latest` counts (without it any one), so a key never has two rows."""
+    new = keep_first(new, keys, latest) if latest else new.dropDuplicates(keys)
     columns = list(dict.fromkeys([*old.columns, *new.columns]))
+    new = new.withColumn("__new", F.lit(True))
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer")
 
     def value(c: str) -> Column:
         sides = [F.col(f"{s}.{c}") for s, d in (("n", new), ("o", old)) if c in d.columns]
+        if set_nulls and c not in keep_old and c not in keys and len(sides) == 2:
+            return F.when(F.col("n.__new"), sides[0]).otherwise(sides[1]).alias(c)
         return F.coalesce(*(sides[::-1] if c in keep_old else sides)).alias(c)
 
     return joined.select(*[value(c) for c in columns])

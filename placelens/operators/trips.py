@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.columns import TRIP_MODES
 
 ORDER_SCHEMA = "trip_id long, poi_id long, position int, leg_metres double"
@@ -44,34 +46,35 @@ def greedy_order(stops: list[dict], start=None) -> list[dict]:
     return out
 
 
-def schedule(stops: list[dict], start=None, days: int = 1, first: int = 540, last: int = 1080, per_day: int = 4, mode: str = "motorbike", open_at=lambda raw, a, b: "unknown"):
-    """Stops in their order over days: each takes the travel from the one before and its own minutes. A stop beyond the day's end goes unscheduled and the next day begins only
-    once the day is full; one that meets closed hours is dropped, or kept with a warning if it is a must."""
-    out, day, n, now, here = [], 1, 0, first, start
-    for r in stops:
-        if n >= per_day and day < days:
-            day, n, now, here = day + 1, 0, first, start
-        if n >= per_day:
+def schedule(stops: list[dict], start=None, days: int = 1, first: int = 540, last: int = 1080, per_day: int = 4, mode: str = "motorbike"):
+    """Stops in their order over days: each takes the travel from the one before and its own minutes. Only the first days * per_day stops take part. A stop goes to the first day that
+    isn't full, else to the last one. It is left out if it would end behind the day, or meets closed hours and is no must. The trip's start is the point before the first day's first
+    stop; a later day has none, so its first leg is unknown. hours is a stop's opening status, ranges the opening ranges in minutes."""
+    now, here, full = [first] * days, [start] + [None] * (days - 1), [0] * days
+    out = []
+    for k, r in enumerate(stops):
+        if k >= days * per_day:
             out.append(r | {"day": None, "status": "unscheduled", "warnings": "MAX_STOPS_APPLIED"})
             continue
-        p = _point(r)
-        travel = minutes(metres(here, p), mode) if here and p else None
-        arrive = now + (travel or 0)
+        d = next((i for i in range(days) if full[i] < per_day), days - 1)
+        p, before = _point(r), here[d]
+        travel = minutes(metres(before, p), mode) if before and p else None
+        arrive = now[d] + (travel or 0)
         leave = arrive + r["stay"]
         if leave > last:
-            out.append(r | {"day": None, "status": "unscheduled", "warnings": "DAY_OVERFLOW"})
+            out.append(r | {"day": None, "status": "unscheduled", "warnings": "UNSCHEDULED_MUST_INCLUDE" if r.get("must") else "DAILY_WINDOW_TIGHT"})
             continue
-        fit, notes = open_at(r.get("hours"), arrive, leave), []
-        if fit == "conflict":
-            notes.append("OPENING_HOURS_CONFLICT")
-            if not r.get("must"):
-                out.append(r | {"day": None, "status": "dropped", "warnings": notes[0]})
-                continue
-        if travel is None:
-            notes.append("ORIGIN_NOT_PROVIDED" if here is None else "COORDINATES_UNKNOWN")
-        n += 1
-        out.append(r | {"day": day, "stop_order": n, "arrival": arrive, "departure": leave, "travel": travel, "status": "scheduled", "warnings": ",".join(notes)})
-        now, here = leave, p or here
+        hours = r.get("hours") or "unknown"
+        if hours == "known":
+            hours = "open" if any(arrive >= x["start"] and leave <= x["end"] for x in r["ranges"]) else "conflict"
+        if hours == "conflict" and not r.get("must"):
+            out.append(r | {"day": None, "status": "dropped", "warnings": "OPENING_HOURS_CONFLICT"})
+            continue
+        leg = "TRAVEL_TIME_ESTIMATED" if travel is not None else "ORIGIN_NOT_PROVIDED" if not full[d] and not before else "COORDINATES_MISSING"
+        notes = [leg] + ([] if hours == "open" else [f"OPENING_HOURS_{hours.upper()}"])
+        full[d] += 1
+        out.append(r | {"day": d + 1, "stop_order": full[d], "arrival": arrive, "departure": leave, "travel": travel, "status": "scheduled", "warnings": ",".join(notes)})
+        now[d], here[d] = leave, p or before
     return out
 
 
@@ -91,13 +94,18 @@ def order_trips(stops: DataFrame) -> DataFrame:
 
 
 def schedule_trips(stops: DataFrame, **options) -> DataFrame:
-    """stops: trip_id, poi_id, score, rank, lat, lon, stay."""
+    """stops: trip_id, poi_id, score, rank, lat, lon, stay, and opening_hours (text) and must if there are any."""
+    if "opening_hours" in stops.columns:
+        stops = stops.withColumn("hours", C.opening_status(F.col("opening_hours"))).withColumn("ranges", F.filter(C.opening_ranges(F.col("opening_hours")), lambda x: x.isNotNull()))
+    names = ["trip_id", "poi_id", "day", "stop_order", "arrival", "departure", "travel", "status", "warnings"]
+
     def run(pdf):
         import pandas as pd
 
         rows = schedule(greedy_order(pdf.to_dict("records")), **options)
-        clock = lambda r, k: hhmm(r[k]) if r.get(k) is not None else None
-        out = pd.DataFrame([(r["trip_id"], r["poi_id"], r["day"], r.get("stop_order"), clock(r, "arrival"), clock(r, "departure"), r.get("travel"), r["status"], r["warnings"]) for r in rows], columns=["trip_id", "poi_id", "day", "stop_order", "arrival", "departure", "travel_minutes", "status", "warnings"])
+        for r in rows:
+            r.update({k: hhmm(r[k]) for k in ("arrival", "departure") if r.get(k) is not None})
+        out = pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names).rename(columns={"travel": "travel_minutes"})
         return out.astype({c: "Int32" for c in ("day", "stop_order", "travel_minutes")})
 
     return stops.groupBy("trip_id").applyInPandas(run, SCHEDULE_SCHEMA)

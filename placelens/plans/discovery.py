@@ -187,13 +187,13 @@ MATRIX_SQL = f"""with {PLACES_SQL} select poi_id, {Q.r(_km, 2)} as km, {', '.joi
 
 
 def radius_density(spark, sf):
-    """Places within 0.5 km of every tenth one, by grid cells."""
+    """Places within 0.5 km of each one, by grid cells."""
     p = places(spark, sf).select("poi_id", "lat", "lon")
-    pairs = R.band_join(p.where("poi_id % 10 = 0"), p, 0.006).where(C.haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= 0.5)
+    pairs = R.band_join(p, p, 0.006).where(C.haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= 0.5)
     return pairs.groupBy("poi_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-RADIUS_SQL = f"with {PLACES_SQL} select a.poi_id, count(*) as n from poi a join poi b on {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 0.5 where a.poi_id % 10 = 0 group by 1"
+RADIUS_SQL = f"with {PLACES_SQL} select a.poi_id, count(*) as n from poi a join poi b on {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 0.5 group by 1"
 
 
 def stop_duration_policy(spark, sf):

@@ -105,16 +105,20 @@ REFLECTION_SQL = f"with m as ({MEMORY_SQL}), r as (select *, row_number() over (
 
 
 def contextual_recommend(spark, sf, k: int = 5):
-    """Popularity from counters, taste from the user's category weights as a joined table, for three users."""
+    """Popularity from counters, nearness, and taste from the user's category weights as a joined table, for all users. Within a category a user's taste is the same for all places, so only places
+    that can be among the best k of their category meet the users: those within the rounding of the k-th best, k at most of each equal value."""
     p = places(spark, sf).withColumn("cat_key", C.clean_key(F.col("category")))
     counts = P.place_counters(profile_events(spark, sf)).withColumnRenamed("review_count", "reviews")
     pop = C.popularity_score(*[F.coalesce(c, F.lit(0)) for c in ("times_visited", "times_added", "times_routed", "reviews")], F.coalesce("rating", F.lit(0.0)))
+    near = C.distance_score(C.haversine_km(F.lit(16.0544), F.lit(108.2022), F.col("lat"), F.col("lon")), 12.0)
+    scored = p.join(counts, "poi_id", "left").select("poi_id", "cat_key", pop.alias("pop"), near.alias("near")).withColumn("base", F.col("pop") * 0.30 + F.col("near") * 0.28)
+    best = R.top_per_group(scored, ["cat_key", "base"], [F.col("poi_id")], k, "__same").drop("__same")
+    kth = R.top_per_group(best, ["cat_key"], [F.desc("base"), F.col("poi_id")], k, "__n").groupBy("cat_key").agg(F.min("base").alias("least"))
+    best = best.join(kth, "cat_key").where(F.col("base") >= F.col("least") - 1e-5)
     weights = profile_rows(placed(spark, sf)).where("dim = 'category'").groupBy("user_id", "key").agg(F.sum("w").alias("w"))
     most = weights.groupBy("user_id").agg(F.greatest(F.max("w"), F.lit(1.0)).alias("most"))
-    users = weights.join(most, "user_id").where("user_id < 3").select("user_id", "key", C.clamp01(F.col("w") / F.col("most")).alias("taste"))
-    ranked = p.join(counts, "poi_id", "left").withColumn("pop", pop).join(users, F.col("cat_key") == F.col("key"))
-    near = C.distance_score(C.haversine_km(F.lit(16.0544), F.lit(108.2022), F.col("lat"), F.col("lon")), 12.0)
-    d = ranked.withColumn("score", C.rounded(C.clamp01(F.col("pop") * 0.30 + F.col("taste") * 0.42 + near * 0.28)))
+    users = weights.join(most, "user_id").select("user_id", "key", C.clamp01(F.col("w") / F.col("most")).alias("taste"))
+    d = best.join(users, F.col("cat_key") == F.col("key")).withColumn("score", C.rounded(C.clamp01(F.col("pop") * 0.30 + F.col("taste") * 0.42 + F.col("near") * 0.28)))
     return R.top_per_group(d, ["user_id"], [F.desc("score"), F.col("poi_id")], k).select("user_id", F.col("rank").cast("long").alias("rank"), "poi_id", "score")
 
 
@@ -123,7 +127,7 @@ CONTEXTUAL_SQL = f"""with {PLACE_CATEGORY_SQL},
 n as (select poi_id, count(*) filter (where kind = 'poi_visit') as v, count(*) filter (where kind = 'add_to_itinerary') as a, count(*) filter (where kind = 'route_segment') as t, count(*) filter (where kind = 'review') as rv from ev group by 1),
 w as (select user_id, category, sum({_w}) as w from pe where kind in ('review', 'poi_visit') group by 1, 2), m as (select user_id, greatest(max(w), 1e0) as most from w group by 1),
 d as (select w.user_id, p.poi_id, {Q.r(Q.clamp01(f"({Q.clamp01(f'{_l('n.v', 2.2)} * 0.28e0 + {_l('n.a', 2.2)} * 0.24e0 + {_l('n.t', 2.4)} * 0.16e0 + {Q.review('n.rv')} * 0.14e0 + {Q.rating('coalesce(p.rating, 0)')} * 0.18e0')}) * 0.30e0 + {Q.clamp01('w.w / m.most')} * 0.42e0 + {Q.clamp01('1e0 - ' + Q.km('16.0544e0', '108.2022e0', 'p.lat', 'p.lon') + ' / 12e0')} * 0.28e0"))} as score
-  from poi p left join n on n.poi_id = p.poi_id join cat c on c.poi_id = p.poi_id join w on w.category = c.category join m on m.user_id = w.user_id where w.user_id < 3)
+  from poi p left join n on n.poi_id = p.poi_id join cat c on c.poi_id = p.poi_id join w on w.category = c.category join m on m.user_id = w.user_id)
 select * from (select user_id, row_number() over (partition by user_id order by score desc, poi_id) as rank, poi_id, score from d) where rank <= 5"""
 
 

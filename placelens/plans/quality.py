@@ -225,7 +225,11 @@ def trips(spark, sf):
     """Each order is a trip, its lines are the stops."""
     d = stops_of_orders(spark, sf)
     d = d.withColumn("stop", F.row_number().over(Window.partitionBy("trip_id").orderBy("pos", "l_suppkey", "l_quantity")))
-    return d.select("trip_id", F.col("stop").cast("long").alias("poi_id"), (F.col("l_quantity") / 50.0).alias("score"), F.col("stop").alias("rank"), "lat", "lon", F.lit(60).alias("stay"))
+    hours = F.element_at(F.array(F.lit(None).cast("string"), F.lit("08:00-18:00"), F.lit("always"), F.lit("09:00-11:00 | 13:00-20:00")), (F.col("stop") % 4 + 1).cast("int"))
+    return d.select(
+        "trip_id", F.col("stop").cast("long").alias("poi_id"), (F.col("l_quantity") / 50.0).alias("score"), F.col("stop").alias("rank"), "lat", "lon",
+        F.lit(60).alias("stay"), hours.alias("opening_hours"), (F.col("stop") % 5 == 0).alias("must"),
+    )
 
 
 def nearest_neighbour_route(spark, sf):
@@ -264,23 +268,23 @@ TURN_SQL = "with s as (select l_orderkey, l_linenumber, l_partkey % 10 as road,
 
 
 def band_join_rules(spark, sf):
-    """One-way rules near places: both coordinates within 0.005 degrees."""
+    """One-way rules (one beside each place) near places: both coordinates within 0.005 degrees."""
     p = places(spark, sf).select("poi_id", "lat", "lon")
-    rules = p.where("poi_id % 25 = 3").select(F.col("poi_id").alias("rule"), (F.col("lat") + 0.001).alias("lat"), (F.col("lon") - 0.001).alias("lon"))
+    rules = p.select(F.col("poi_id").alias("rule"), (F.col("lat") + 0.001).alias("lat"), (F.col("lon") - 0.001).alias("lon"))
     return R.band_join(p, rules, 0.005).select("poi_id", F.col("r_rule").alias("rule"))
 
 
-BAND_SQL = f"with {PLACES_SQL}, r as (select poi_id as rule, lat + 0.001e0 as rlat, lon - 0.001e0 as rlon from poi where poi_id % 25 = 3) select poi_id, rule from poi, r where abs(lat - rlat) < 0.005 and abs(lon - rlon) < 0.005"
+BAND_SQL = f"with {PLACES_SQL}, r as (select poi_id as rule, lat + 0.001e0 as rlat, lon - 0.001e0 as rlon from poi) select poi_id, rule from poi, r where abs(lat - rlat) < 0.005 and abs(lon - rlon) < 0.005"
 
 
 def text_functions(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("t"), "source")
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"), "source")
     raw = F.concat_ws("", (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 3 == 0, ",5 km").when(F.col("doc_id") % 3 == 1, "abc").otherwise(".25"))
-    return d.select("doc_id", C.clean_key(F.substring("t", 1, 40)).alias("clean_key"), F.size(C.tokens(F.col("t"))).cast("long").alias("n_tokens"), C.optional_number(raw).alias("number"), F.array_join(C.parse_list(F.concat_ws("|", "source", F.lit(" nan ; x"))), ",").alias("list"), C.clean_string(F.col("source")).alias("clean"))
+    return d.select("doc_id", C.clean_key(F.col("t")).alias("clean_key"), F.size(C.tokens(F.col("t"))).cast("long").alias("n_tokens"), C.optional_number(raw).alias("number"), F.array_join(C.parse_list(F.concat_ws("|", "source", F.lit(" nan ; x"))), ",").alias("list"), C.clean_string(F.col("source")).alias("clean"))
 
 
-TEXT_SQL = f"""with d as (select doc_id, text[:400] as t, source from documents)
-select doc_id, coalesce(nullif(trim(regexp_replace(lower(strip_accents(coalesce(t[:40], ''))), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') as clean_key,
+TEXT_SQL = f"""with d as (select doc_id, text as t, source from documents)
+select doc_id, coalesce(nullif(trim(regexp_replace(lower(strip_accents(coalesce(t, ''))), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') as clean_key,
  len(list_filter(regexp_split_to_array({Q.norm('t')}, '[^a-z0-9]+'), lambda x: length(x) >= 2))::bigint as n_tokens,
  case doc_id % 3 when 0 then (doc_id % 50) + 0.5e0 when 1 then (doc_id % 50)::double else (doc_id % 50) + 0.25e0 end as number, concat_ws(',', nullif(trim(source), ''), 'x') as list, trim(coalesce(source, '')) as clean from d"""
 

@@ -53,8 +53,15 @@ def test_schedule_fills_days_and_reports_the_rest():
     assert [r["day"] for r in out] == [1, 1, 1, 2, 2, 2, None] and out[-1]["warnings"] == "MAX_STOPS_APPLIED"
     late = T.schedule(stops[:2], (16.0, 108.0), first=1000, last=1080)
     assert [r["status"] for r in late] == ["scheduled", "unscheduled"]
-    shut = T.schedule([stops[0] | {"must": True}, stops[1]], (16.0, 108.0), open_at=lambda *a: "conflict")
-    assert [r["status"] for r in shut] == ["scheduled", "dropped"]
+    assert late[1]["warnings"] == "DAILY_WINDOW_TIGHT"
+    shut = T.schedule([s | {"hours": "known", "ranges": [{"start": 1200, "end": 1300}], "must": i == 0} for i, s in enumerate(stops[:2])], (16.0, 108.0))
+    assert [r["status"] for r in shut] == ["scheduled", "dropped"] and shut[0]["warnings"] == "TRAVEL_TIME_ESTIMATED,OPENING_HOURS_CONFLICT"
+    # A later day has no point to come from, and only the first stops take part, whether they fit or not.
+    assert out[0]["travel"] == 4 and out[3]["travel"] is None and out[3]["warnings"].startswith("ORIGIN_NOT_PROVIDED")
+    long = T.schedule([stops[0] | {"stay": 600}, *stops[1:]], (16.0, 108.0), days=1, per_day=2)
+    assert [r["status"] for r in long] == ["unscheduled", "scheduled"] + ["unscheduled"] * 5 and long[2]["warnings"] == "MAX_STOPS_APPLIED"
+    blind = T.schedule([stops[0], stops[1] | {"lat": None}], (16.0, 108.0))
+    assert blind[1]["warnings"] == "COORDINATES_MISSING,OPENING_HOURS_UNKNOWN"
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
