@@ -24,6 +24,8 @@ empty result. Repeats within one document are left alone.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,10 +134,27 @@ def follow(b: np.ndarray, a: np.ndarray) -> list[tuple[int, int, int]]:
             return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.unique(shingles(a, SHINGLE)), np.unique(shingles(b, SHINGLE))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+class Overlap:
+    """The Jaccard similarity of the sets of shingles of a range of either text, as the ranges shrink from their ends: each shingle is counted in and out once."""
+
+    def __init__(self, sb: list[int], sa: list[int], b0: int, b1: int, a0: int, a1: int):
+        self.texts, self.at = (sb, sa), [[b0, b1], [a0, a1]]
+        self.counts = [dict(Counter(sb[b0:b1])), dict(Counter(sa[a0:a1]))]
+        self.both = len(self.counts[0].keys() & self.counts[1].keys())
+
+    def shrink(self, *bounds: tuple[int, int]) -> None:
+        for side, (begin, end) in enumerate(bounds):
+            (x, y), own, other = self.at[side], self.counts[side], self.counts[1 - side]
+            for part in (self.texts[side][x:begin], self.texts[side][end:y]):
+                for e in part:
+                    own[e] -= 1
+                    if not own[e]:
+                        del own[e]
+                        self.both -= e in other
+            self.at[side] = [begin, end]
+
+    def similarity(self) -> float:
+        return self.both / (len(self.counts[0]) + len(self.counts[1]) - self.both)
 
 
 def joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -149,18 +168,23 @@ def joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def of_chain(b: np.ndarray, a: np.ndarray, runs: list[tuple[int, int, int]], min_words: int, least: float):
-    """(b0, b1, a0, a1, similarity) of a chain of runs: its ends are cut until the rest is alike; then what was cut off is a chain of its own. Each run of min_words or more is a passage."""
+def of_chain(sb: list[int], sa: list[int], runs: list[tuple[int, int, int]], min_words: int, least: float):
+    """(b0, b1, a0, a1, similarity) of a chain of runs, in words, from the shingles of both texts: its ends are cut until the rest is alike; then what was cut off is a chain of its own. Each
+    run of min_words or more is a passage."""
     todo, out = [runs], []
     while todo:
         whole = todo.pop()
-        lo, hi = 0, len(whole)
+        lo, hi, overlap = 0, len(whole), None
         while lo < hi:
             (b0, a0, _), (b1, a1, n) = whole[lo], whole[hi - 1]
             if min(b1 - b0, a1 - a0) + n < min_words:
                 break
-            s = similarity(b[b0 : b1 + n], a[a0 : a1 + n])
-            if s >= least:
+            bounds = (b0, b1 + n - SHINGLE + 1), (a0, a1 + n - SHINGLE + 1)
+            if overlap is None:
+                overlap = Overlap(sb, sa, *bounds[0], *bounds[1])
+            else:
+                overlap.shrink(*bounds)
+            if (s := overlap.similarity()) >= least:
                 out.append((b0, b1 + n, a0, a1 + n, s))
                 break
             lo, hi = (lo + 1, hi) if whole[lo][2] < n else (lo, hi - 1)
@@ -207,7 +231,7 @@ def cover(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def passages(b: np.ndarray, a: np.ndarray, pairs, min_words: int = MIN_WORDS, least: float = SIMILARITY):
     """(b0, b1, a0, a1, similarity) in words, from pairs of positions that agree: together they cover in b all exact passages, and the near-duplicate ones around all runs. None lies
     in another."""
-    runs = runs_at(b, a, pairs)
+    runs, (sb, sa) = runs_at(b, a, pairs), (shingles(x, SHINGLE).tolist() for x in (b, a))
     exact = cover([r for r in runs if r[2] >= min_words])
     out = [(i, i + n, j, j + n, 1.0) for i, j, n in exact]
     inside = lambda x, y: any(b0 <= x and y <= b1 for b0, b1, *_ in out)
@@ -220,7 +244,7 @@ def passages(b: np.ndarray, a: np.ndarray, pairs, min_words: int = MIN_WORDS, le
         chain = joined([*left, (i, j, n), *right])
         for x, y, m in chain:
             seen.setdefault(x - y, []).append((x, x + m))
-        out += [p for p in of_chain(b, a, chain, min_words, least) if not inside(p[0], p[1])]
+        out += [p for p in of_chain(sb, sa, chain, min_words, least) if not inside(p[0], p[1])]
     return [p for k, p in enumerate(out) if not any(q[0] <= p[0] and p[1] <= q[1] and (q[0] < p[0] or p[1] < q[1] or m < k) for m, q in enumerate(out))]
 
 
@@ -231,11 +255,15 @@ def _verify(min_words: int, least: float):
         names = ["id", "source", "start", "end", "source_start", "source_end", "n_words", "similarity"]
         for batch in batches:
             out: list = []
-            for r in batch.to_pylist():
+            column = batch.column(batch.schema.get_field_index("pairs"))
+            pos, rpos = (column.flatten().field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            stop = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            for k, r in enumerate(batch.drop_columns(["pairs"]).to_pylist()):
                 texts = [x.encode("utf-8", "replace") for x in (r["text_b"], r["text_a"])]
                 (b, bs, be), (a, as_, ae) = map(words, texts)
                 bs, be, as_, ae = (char_offsets(t, x) for t, x in ((texts[0], bs), (texts[0], be), (texts[1], as_), (texts[1], ae)))
-                pairs = [(int(np.searchsorted(bs, p["pos"] - r["lo_b"])), int(np.searchsorted(as_, p["rpos"] - r["lo_a"]))) for p in r["pairs"]]
+                own = slice(stop[k - 1] if k else 0, stop[k])
+                pairs = list(zip(np.searchsorted(bs, pos[own] - r["lo_b"]).tolist(), np.searchsorted(as_, rpos[own] - r["lo_a"]).tolist(), strict=True))
                 for b0, b1, a0, a1, s in passages(b, a, pairs, min_words, least):
                     out.append((r["id"], r["source"], int(bs[b0]) + r["lo_b"], int(be[b1 - 1]) + r["lo_b"], int(as_[a0]) + r["lo_a"], int(ae[a1 - 1]) + r["lo_a"], b1 - b0, s))
             cols = list(zip(*out, strict=True)) or [[]] * 8
