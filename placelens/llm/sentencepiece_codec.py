@@ -188,17 +188,27 @@ def bounds(n: int, chunk: int = CHUNK) -> list[int]:
     return [*range(0, max(1, n - chunk // 2), chunk), n]
 
 
-def combine_crc(a: int, b: int, n: int) -> int:
-    """The CRC-32 of two texts in a row, from theirs and the second one's length: a shift by n zero bytes, as a matrix over GF(2), by squaring."""
-    times = lambda m, v: int(np.bitwise_xor.reduce(m[[k for k in range(32) if v >> k & 1]], initial=0))
-    squared = lambda m: np.array([times(m, int(x)) for x in m], np.int64)
+def _times(m: np.ndarray, v: int) -> int:
+    """A matrix over GF(2), as its 32 columns, times a vector of bits."""
+    return int(np.bitwise_xor.reduce(m[[k for k in range(32) if v >> k & 1]], initial=0))
+
+
+def _zero_bytes() -> list[np.ndarray]:
+    """The CRC-32's shift by 1, 2, 4, ... zero bytes, each the square of the one before."""
     m = np.array([0xEDB88320, *(1 << k for k in range(31))], np.int64)  # one zero bit
-    for _ in range(3):
-        m = squared(m)
-    while n:
+    out = []
+    for k in range(3 + 48):
+        out.append(m)
+        m = np.array([_times(m, int(x)) for x in m], np.int64)
+    return out[3:]
+
+
+def combine_crc(a: int, b: int, n: int) -> int:
+    """The CRC-32 of two texts in a row, from theirs and the second one's length."""
+    for m in process_cache(("zero bytes",), _zero_bytes):
         if n & 1:
-            a = times(m, a)
-        m, n = squared(m), n >> 1
+            a = _times(m, a)
+        n >>= 1
     return a ^ b
 
 
