@@ -1,7 +1,7 @@
 """Online preference profiles: an event stream folded into a state for each user, and the same fold in batch.
 
 Events are put in order (time, source, id) within what arrives together; an event key that the state has seen is skipped, which makes
-redelivery harmless. Weights follow an exponential mean: old (1 - alpha) + delta alpha, weights of 0.001 or less go, the largest stay.
+redelivery harmless for KEEP_SECONDS; an event redelivered later than that counts again (a difference made for a bounded state). Weights follow an exponential mean: old (1 - alpha) + delta alpha, weights of 0.001 or less go, the largest stay.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from ..functions.columns import clamp
 
 OUTPUT = "user_id long, kind string, key string, weight double"
 MAX_KEYS, MAX_CONTEXTS = 24, 16
+#: How long, in event time behind a user's newest event, a key is known as seen: the state holds the keys of 30 days.
+KEEP_SECONDS = 30 * 86_400.0
 
 
 def alpha(dwell: Column, rating: Column) -> Column:
@@ -35,7 +37,7 @@ def learning_columns(events: DataFrame) -> DataFrame:
 
 
 def empty_state() -> dict:
-    return {"seen": [], "category": {}, "purpose": {}, "mood": {}, "transport": {}, "context": {}, "purpose_by_category": {}, "dwell": {"target": 45, "n": 0}, "count": {}}
+    return {"seen": {}, "category": {}, "purpose": {}, "mood": {}, "transport": {}, "context": {}, "purpose_by_category": {}, "dwell": {"target": 45, "n": 0}, "count": {}}
 
 
 def blend(old: dict, delta: dict, a: float, most: int = MAX_KEYS) -> dict:
@@ -49,12 +51,18 @@ def present(v) -> bool:
     return v is not None and v != "" and not (isinstance(v, float) and math.isnan(v))
 
 
+def forget(seen: dict, keep: float = KEEP_SECONDS) -> None:
+    """Drops the keys of events older than keep, behind the newest; keys without a time stay."""
+    newest = max((t for t in seen.values() if t is not None), default=0.0)
+    for key in [k for k, t in seen.items() if t is not None and t < newest - keep]:
+        del seen[key]
+
+
 def learn(state: dict, e: dict) -> None:
     key = f"{e['source']}_{e['event_id']}"
-    if key in state["seen_set"]:
+    if key in state["seen"]:
         return
-    state["seen_set"].add(key)
-    state["seen"].append(key)
+    state["seen"][key] = e["ts"].timestamp() if present(e["ts"]) and e["ts"] == e["ts"] else None
     a, w = e["alpha"], e["weight"]
     own = {n: ({e[n]: w} if present(e[n]) else {}) for n in ("category", "purpose", "mood")}
     for n, delta in own.items():
@@ -92,10 +100,9 @@ def rows_of(user, s: dict):
 def fold(user, state: dict, frames):
     import pandas as pd
 
-    state["seen_set"] = set(state["seen"])
     for e in pd.concat(frames).sort_values(["ts", "source", "event_id"], kind="stable").to_dict("records"):
         learn(state, e)
-    del state["seen_set"]
+    forget(state["seen"])
     return pd.DataFrame(list(rows_of(user, state)), columns=["user_id", "kind", "key", "weight"])
 
 
