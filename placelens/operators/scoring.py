@@ -41,6 +41,27 @@ TAGS = {
     "local_explorer": ["local", "hidden", "an minh", "quan an", "hem"],
 }
 
+#: Terms of each explicit taste tag, fewer than above: fixed values.
+EXPLICIT_TAGS = {
+    "beach_view": ["bien", "beach", "sea", "ngam bien"],
+    "riverfront": ["song", "river", "ven song", "han"],
+    "hidden_gems": ["hidden", "an minh", "hem", "local", "yen tinh"],
+    "amusement_parks": ["khu vui choi", "amusement", "park", "cong vien"],
+    "rooftop_city_view": ["rooftop", "city view", "view", "tang thuong"],
+    "deep_work_study": ["hoc bai", "study", "work", "cowork", "yen tinh", "cafe"],
+    "casual_socializing": ["gap go", "social", "ban be", "cafe", "restaurant"],
+    "weekend_chill": ["chill", "weekend", "thu gian", "cafe", "beach"],
+    "late_night_hangouts": ["dem", "night", "late", "bar", "nhau"],
+    "solo": ["solo", "mot minh", "quiet", "yen tinh"],
+    "dating_romantic": ["hen ho", "romantic", "lang man", "view"],
+    "friends_gathering": ["ban be", "group", "nhom", "nhau", "quan an"],
+    "family_friendly": ["family", "gia dinh", "tre em", "nha hang"],
+    "student": ["hoc bai", "study", "sinh vien", "cafe", "budget"],
+    "remote_worker": ["work", "cowork", "wifi", "yen tinh", "cafe"],
+    "tourist": ["tourist", "du lich", "check in", "beach"],
+    "local_explorer": ["local", "hidden", "an minh", "quan an", "hem"],
+}
+
 
 def plain(text: str) -> str:
     import unicodedata
@@ -82,6 +103,25 @@ def weight_max(haystack: Column, weights: dict[str, float]) -> Column:
     return F.greatest(F.lit(0.0), *[F.when(F.contains(haystack, F.lit(plain(k))), float(w)).otherwise(0.0) for k, w in weights.items()], F.lit(0.0))
 
 
+def explicit_terms(tag: str) -> list[str]:
+    """The tag's terms (itself, if it has none) as parts of a clean key."""
+    import re
+
+    return [re.sub("[^a-z0-9]+", "_", plain(t)).strip("_") for t in EXPLICIT_TAGS.get(tag, [tag])]
+
+
+def explicit_score(key: Column, tags: list[str]) -> Column:
+    """Share of the tags that have a term in a place's text, given as a clean key."""
+    return clamp01(total([contains_any(key, explicit_terms(t)).cast("int") for t in tags]) / float(max(len(tags), 1)))
+
+
+def dwell_fit(style: str, text: Column) -> Column:
+    """Whether a place's category and name suit long stays (75 minutes and more) or short ones (under 25)."""
+    if style == "long_stay":
+        return F.when(text.rlike("(?i)cafe|coffee|study|cowork|restaurant|bar"), 0.85).otherwise(0.5)
+    return F.when(text.rlike("(?i)takeaway|bakery|tea|juice|fast"), 0.8).otherwise(0.5) if style == "quick_stop" else F.lit(0.5)
+
+
 def once(df, **columns: Column):
     """Adds columns that are computed once a row: Spark neither pushes filters through this nor repeats the expressions in what is built on them."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

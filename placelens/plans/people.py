@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import relational as R
+from ..operators import scoring as S
 from ..sources.tables import EVENTS_SQL, PLACES_SQL, places, profile_events, table
 from ..streaming import profiles as P
 from . import sqltext as Q
@@ -48,14 +49,15 @@ def user_profile_topk(spark, sf):
 
 _ctx = "case when hour(ts) < 11 then 'morning' when hour(ts) < 17 then 'afternoon' when hour(ts) < 22 then 'evening' else 'night' end || '.' || case when dayofweek(ts) in (0, 6) then 'weekend' else 'weekday' end"
 _w = "case when kind = 'review' then greatest(coalesce(rating, 0), 1e0) else greatest(least(dwell / 30e0, 4e0), 0.75e0) end"
-PROFILE_SQL = f"""with {PLACE_CATEGORY_SQL}, x as (
+PROFILE_ROWS_SQL = f"""{PLACE_CATEGORY_SQL}, x as (
   select user_id, 'category' as dim, '' as ctx, category as key, {_w} as w from pe where kind in ('review', 'poi_visit') union all
   select user_id, 'context_category', {_ctx}, category, {_w} from pe where kind in ('review', 'poi_visit') union all
   select user_id, 'purpose', '', purpose, {_w} from pe where kind = 'review' union all
   select user_id, 'mood', '', mood, {_w} from pe where kind = 'review' union all
   select user_id, 'context_mood', {_ctx}, mood, {_w} from pe where kind = 'review' union all
   select user_id, 'purpose_by_category', category, purpose, {_w} from pe where kind = 'review' union all
-  select user_id, 'transport', '', transport, 1e0 from pe where kind = 'route_segment'),
+  select user_id, 'transport', '', transport, 1e0 from pe where kind = 'route_segment')"""
+PROFILE_SQL = f"""with {PROFILE_ROWS_SQL},
 g as (select user_id, dim, ctx, key, {Q.r('sum(w)', 4)} as weight from x where key is not null group by all),
 r as (select *, row_number() over (partition by user_id, dim, ctx order by weight desc, key) as rank from g)
 select * from r where rank <= case dim when 'category' then 20 when 'purpose_by_category' then 6 when 'transport' then 8 else 12 end"""
@@ -131,6 +133,70 @@ d as (select w.user_id, p.poi_id, {Q.r(Q.clamp01(f"({Q.clamp01(f'{_l('n.v', 2.2)
 select * from (select user_id, row_number() over (partition by user_id order by score desc, poi_id) as rank, poi_id, score from d) where rank <= 5"""
 
 
+#: What the users of each group said that they like, and the context of personalized_recommend.
+LIKES = [["student", "deep_work_study"], ["tourist", "beach_view", "weekend_chill"], ["local_explorer", "hidden_gems"], []]
+STYLES = ["quick_stop", "standard_visit", "long_stay"]
+CONTEXT, MOOD, PURPOSE = "morning.weekday", "calm", "work"
+
+
+def leaders(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The rows whose base is within the rounding of the k-th best of their keys, k at most of each equal base."""
+    best = R.top_per_group(df, [*keys, "base"], [F.col("poi_id")], k, "__same").drop("__same")
+    kth = R.top_per_group(best, keys, [F.desc("base"), F.col("poi_id")], k, "__n").groupBy(*keys).agg(F.min("base").alias("__least"))
+    return best.join(kth, keys).where(F.col("base") >= F.col("__least") - 1e-5).drop("__least")
+
+
+def personalized_recommend(spark, sf, k: int = 5):
+    """The places that suit each user's whole profile in a context: category, category in the context, explicit tastes, purpose, mood, mood in the context, and length of stay.
+
+    What depends on the place alone, or on the user's group of tastes and style of stay, ranks the places of each category and of all; only these leaders meet the users.
+    A user's part is equal for all places of a category and least for a category the user doesn't know, so no other place can be among the best."""
+    counts = P.place_counters(profile_events(spark, sf)).withColumnRenamed("review_count", "reviews")
+    p = S.once(places(spark, sf), cat=C.clean_key(F.col("category")), hay=C.clean_key(F.concat_ws(" ", "name", "category", "text", "district")), kind=F.concat_ws(" ", "category", "name")).drop("text")
+    pop = C.popularity_score(*[F.coalesce(c, F.lit(0)) for c in ("times_visited", "times_added", "times_routed", "reviews")], F.coalesce("rating", F.lit(0.0)))
+    near = C.distance_score(C.haversine_km(F.lit(16.0544), F.lit(108.2022), F.col("lat"), F.col("lon")), 12.0)
+    fits = F.array(*[F.struct(F.lit(g).alias("liking"), F.lit(s).alias("style"), (S.explicit_score(F.col("hay"), tags) * 0.22 + S.dwell_fit(s, F.col("kind")) * 0.09).alias("own")) for g, tags in enumerate(LIKES) for s in STYLES])
+    p = S.once(p, fits=fits).drop("hay", "kind").join(counts, "poi_id", "left").select("poi_id", "cat", pop.alias("pop"), near.alias("near"), F.explode("fits").alias("f"))
+    p = p.select("poi_id", "cat", "f.liking", "f.style", (F.col("pop") * 0.30 + F.col("near") * 0.28 + F.col("f.own") * 0.42).alias("base"))
+
+    g = profile_rows(placed(spark, sf)).groupBy("user_id", "dim", "ctx", "key").agg(F.sum("w").alias("w"))
+    s = g.withColumn("share", C.clamp01(F.col("w") / F.greatest(F.max("w").over(Window.partitionBy("user_id", "dim", "ctx")), F.lit(1.0))))
+    share = lambda dim, **is_: F.coalesce(F.max(F.when((F.col("dim") == dim) & F.expr(" and ".join(["true", *(f"{c} = '{v}'" for c, v in is_.items())])), F.col("share"))), F.lit(0.0))
+    dwell = dwell_preference(spark, sf).select("user_id", "target_minutes")
+    users = s.groupBy("user_id").agg(share("mood", key=MOOD).alias("mood"), share("context_mood", ctx=CONTEXT, key=MOOD).alias("context_mood"), share("purpose", key=PURPOSE).alias("purpose"))
+    users = users.join(dwell, "user_id", "left").select("user_id", "mood", "context_mood", "purpose", F.pmod("user_id", F.lit(len(LIKES))).cast("int").alias("liking"), C.dwell_style(F.coalesce("target_minutes", F.lit(45))).alias("style"))
+    cat = F.when(F.col("dim") == "purpose_by_category", F.col("ctx")).when(F.col("dim").isin("category", "context_category"), F.col("key"))
+    known = s.withColumn("cat", cat).where("cat is not null").groupBy("user_id", "cat").agg(share("category").alias("category"), share("context_category", ctx=CONTEXT).alias("context_category"), share("purpose_by_category", key=PURPOSE).alias("usual"))
+
+    own = leaders(p, ["liking", "style", "cat"], k).join(known.join(users, "user_id"), ["liking", "style", "cat"])
+    none = F.lit(0.0)
+    other = leaders(p, ["liking", "style"], k).join(users, ["liking", "style"]).withColumns({"category": none, "context_category": none, "usual": none})
+    personal = F.col("category") * 0.20 + F.col("context_category") * 0.19 + F.greatest("purpose", "usual") * 0.15 + F.col("mood") * 0.09 + F.col("context_mood") * 0.06
+    both = own.unionByName(other).groupBy("user_id", "poi_id").agg(F.max(C.clamp01(F.col("base") + personal * 0.42)).alias("score")).withColumn("score", C.rounded(F.col("score"))).where("score > 0.08")
+    return R.top_per_group(both, ["user_id"], [F.desc("score"), F.col("poi_id")], k).select("user_id", F.col("rank").cast("long").alias("rank"), "poi_id", "score")
+
+
+def _explicit(tags: list[str]) -> str:
+    return "(" + " + ".join(["0", *(f"{Q.any_of('hay', S.explicit_terms(t))}::int" for t in tags)]) + f") / {max(len(tags), 1)}e0"
+
+
+_PERSONAL = f"pl.pop * 0.30e0 + pl.near * 0.28e0 + 0.42e0 * (coalesce(c.share, 0) * 0.20e0 + coalesce(cc.share, 0) * 0.19e0 + pl.likes[u.user_id % {len(LIKES)} + 1] * 0.22e0 + greatest(coalesce(u.purpose, 0), coalesce(pc.share, 0)) * 0.15e0 + coalesce(u.mood, 0) * 0.09e0 + coalesce(u.context_mood, 0) * 0.06e0 + case when coalesce(t.target, 45) >= 75 and regexp_matches(kind, '(?i)cafe|coffee|study|cowork|restaurant|bar') then 0.85e0 when coalesce(t.target, 45) < 25 and regexp_matches(kind, '(?i)takeaway|bakery|tea|juice|fast') then 0.8e0 else 0.5e0 end * 0.09e0)"
+PERSONALIZED_SQL = f"""with {PROFILE_ROWS_SQL},
+n as (select poi_id, count(*) filter (where kind = 'poi_visit') as v, count(*) filter (where kind = 'add_to_itinerary') as a, count(*) filter (where kind = 'route_segment') as t, count(*) filter (where kind = 'review') as rv from ev group by 1),
+g as (select user_id, dim, ctx, key, sum(w) as w from x where key is not null group by all),
+s as (select *, {Q.clamp01('w / greatest(max(w) over (partition by user_id, dim, ctx), 1e0)')} as share from g),
+u as (select user_id, max(share) filter (where dim = 'mood' and key = '{MOOD}') as mood, max(share) filter (where dim = 'context_mood' and ctx = '{CONTEXT}' and key = '{MOOD}') as context_mood, max(share) filter (where dim = 'purpose' and key = '{PURPOSE}') as purpose from s group by 1),
+t as (select user_id, floor(avg(least(dwell, 360e0)) + 0.5) as target from ev where kind = 'poi_visit' and dwell > 0 group by 1),
+h as (select *, trim(regexp_replace(lower(strip_accents(concat_ws(' ', name, category, text, district))), '[^a-z0-9]+', '_', 'g'), '_') as hay from poi),
+pl as (select p.poi_id, cat.category as cat, p.category || ' ' || p.name as kind, [{', '.join(_explicit(t) for t in LIKES)}] as likes,
+  {Q.clamp01(f"{_l('n.v', 2.2)} * 0.28e0 + {_l('n.a', 2.2)} * 0.24e0 + {_l('n.t', 2.4)} * 0.16e0 + {Q.review('n.rv')} * 0.14e0 + {Q.rating('coalesce(p.rating, 0)')} * 0.18e0")} as pop,
+  {Q.clamp01('1e0 - ' + Q.km('16.0544e0', '108.2022e0', 'p.lat', 'p.lon') + ' / 12e0')} as near from h p join cat on cat.poi_id = p.poi_id left join n on n.poi_id = p.poi_id),
+d as (select u.user_id, pl.poi_id, {Q.r(Q.clamp01(_PERSONAL))} as score
+  from u cross join pl left join t on t.user_id = u.user_id left join s c on c.user_id = u.user_id and c.dim = 'category' and c.key = pl.cat
+  left join s cc on cc.user_id = u.user_id and cc.dim = 'context_category' and cc.ctx = '{CONTEXT}' and cc.key = pl.cat left join s pc on pc.user_id = u.user_id and pc.dim = 'purpose_by_category' and pc.ctx = pl.cat and pc.key = '{PURPOSE}')
+select * from (select user_id, row_number() over (partition by user_id order by score desc, poi_id) as rank, poi_id, score from d where score > 0.08) where rank <= 5"""
+
+
 def place_counters(spark, sf):
     return P.place_counters(profile_events(spark, sf))
 
@@ -190,8 +256,8 @@ def json_props_rollup(spark, sf):
 
 JSON_SQL = f"select event_type, (json_extract_string(props, '$.k')::int % 10)::bigint as bucket, count(*) as n, {Q.r('avg(value)', 4)} as mean from events group by 1, 2"
 
-QUERIES = {f.__name__: f for f in (user_profile_topk, dwell_preference, agent_memory_weights, feedback_counters, reflections, contextual_recommend, place_counters, event_learning_rate, ema_profile_batch, event_tumbling_counts, event_sessions, event_dedupe, json_props_rollup)}
+QUERIES = {f.__name__: f for f in (user_profile_topk, dwell_preference, agent_memory_weights, feedback_counters, reflections, contextual_recommend, personalized_recommend, place_counters, event_learning_rate, ema_profile_batch, event_tumbling_counts, event_sessions, event_dedupe, json_props_rollup)}
 ORACLE_SQL = {
-    "user_profile_topk": PROFILE_SQL, "dwell_preference": DWELL_SQL, "agent_memory_weights": MEMORY_SQL, "feedback_counters": FEEDBACK_SQL, "reflections": REFLECTION_SQL, "contextual_recommend": CONTEXTUAL_SQL, "place_counters": COUNTERS_SQL,
+    "user_profile_topk": PROFILE_SQL, "dwell_preference": DWELL_SQL, "agent_memory_weights": MEMORY_SQL, "feedback_counters": FEEDBACK_SQL, "reflections": REFLECTION_SQL, "contextual_recommend": CONTEXTUAL_SQL, "personalized_recommend": PERSONALIZED_SQL, "place_counters": COUNTERS_SQL,
     "event_learning_rate": RATE_SQL, "event_tumbling_counts": TUMBLING_SQL, "event_sessions": SESSION_SQL, "event_dedupe": f"select user_id, count(*) as n, {Q.r('sum(value)', 2)} as total from events group by 1", "json_props_rollup": JSON_SQL,
 }
