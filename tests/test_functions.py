@@ -80,6 +80,15 @@ def test_blend_forgets_and_keeps_the_largest():
     assert P.blend({"a": 1.0, "b": 0.001}, {"c": 1.0}, 0.5, 2) == {"a": 0.5, "c": 0.5}
 
 
+def test_old_event_keys_are_forgotten():
+    seen = {"a": 0.0, "b": 90.0, "c": 100.0, "d": None}
+    P.forget(seen, 10.0)
+    assert seen == {"b": 90.0, "c": 100.0, "d": None}
+    none = {}
+    P.forget(none)
+    assert none == {}
+
+
 def test_readers(spark, tmp_path):
     head = ",".join(tables.CANONICAL_COLUMNS)
     (tmp_path / "a.csv").write_text("﻿" + head + "\n" + ",".join(['"x ""y"""'] + [""] * 33) + "\n", encoding="utf-8")
