@@ -7,22 +7,29 @@ agree by chance in 2^-BITS of cases, so the likeness is (m - 2^-BITS) / (1 - 2^-
 
 Fewer words than SHINGLE are one shingle. Null texts, and texts without words, have the fingerprint of all zeros, which is like itself (1) and no other (0).
 
-Pairs of neighbours: rows are ordered by descending id (nulls last), rows of equal id by text, and each row meets the next; after the last comes the first.
-Ranges of ids are cut at quantiles of the ids alone; the rows that open a range are sent to the range before it as well, so each task reads its
-rows in order with one text of look-ahead.
+Pairs of neighbours: rows are ordered by descending id (nulls last), rows of equal id by a hash of their text, then by the text, and each row meets the next; after the
+last comes the first. Ranges of this order are cut by bytes: at quantiles of the ids, each id weighted by its text's size, and an id that holds several ranges (or no id) is split
+by the hash. The rows that open a range are sent to the range before it as well, so each task reads its rows in order, in batches, with one text of look-ahead. Only repeated
+rows (equal in id and text) stay in one range, which is sorted with spill and read in batches as all are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions_for, process_cache
+from .shared import Scratch, partitions_for, process_cache
 from .textkit import mix64, shingles, words
 
 BINS, BITS, SHINGLE = 512, 4, 5
 
+#: A range of neighbours is about RANGE_BYTES of text; there are MAX_RANGES at most (beyond, they grow, sorted with spill). The cuts' weights are in FINE-ths of a range.
+RANGE_BYTES, MAX_RANGES, FINE, HASH_BITS, LONG = 32 << 20, 20_000, 32, 20, (1 << 63) - 1
+RESULT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
 
 def _donors(bins: int, attempts: int) -> np.ndarray:
     """The bin that each empty bin asks at each attempt."""
@@ -123,32 +130,63 @@ def half_replaced(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit=half_replaced) -> DataFrame:
+def _cuts(sizes: DataFrame, weight: Column, n: int) -> tuple[list[int], dict[int, int]]:
+    """Ascending ids at which ranges begin, and the number of ranges of each id that holds more than one; n weighted quantiles at most."""
+    copies = sizes.where("id is not null").select(F.explode(F.array_repeat("id", weight.cast("int"))).alias("id"))
+    at = [max(-LONG, min(LONG, int(c))) for c in copies.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)] if n > 1 else []
+    held = {c: k for c, k in Counter(at).items() if k > 1}
+    return sorted(set(at) | {min(LONG, c + 1) for c in held}), held
+
+
+def _literal(values: list[int]) -> Column:
+    """A constant array that the optimizer folds into one literal, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.expr("cast(array() as array<bigint>)")
+
+
+def _not_above(cuts: Column, n: int, x: Column) -> Column:
+    """How many of n ascending cuts are x or less, by halving."""
+
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        low = F.element_at(cuts, F.least(mid + 1, F.lit(n))) <= x
+        done = at["lo"] >= at["hi"]
+        return F.struct(F.when(~done & low, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(~done & ~low, mid).otherwise(at["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(n.bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda at: at["lo"]) if n else F.lit(0)
+
+
+def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit=half_replaced, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """For each row: its fingerprint, that of its text as edited with the next row's, and both likenesses."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    ids = rows.select("id")
-    n = max(1, min(10_000, 2 * partitions_for(spark)))
-    cuts = sorted(set(ids.where("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)), reverse=True) if n > 1 else []
-    # Range 0 has the largest ids. width_bucket by binary search over n numbers.
-    bounds = F.array(*[F.lit(int(-c)).cast("long") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    part = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c < -F.col("id")))).cast("int")
-    ranged = rows.withColumn("part", part)
-    opens = {r["part"]: r["top"] for r in ids.withColumn("part", part).groupBy("part").agg(F.max("id").alias("top")).collect()}  # n rows at most
-    order = sorted(opens)
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # the first range's opener goes to the last one
-    if not order:
-        return spark.createDataFrame([], "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    sends = F.coalesce(*[F.when((F.col("part") == p) & F.col("id").eqNullSafe(F.lit(opens[p]).cast("long")), F.lit(before[p])) for p in order]) if len(order) <= 400 else None
-    if sends is None:
-        table = spark.createDataFrame([(p, opens[p], before[p]) for p in order], "p int, top long, sends int")
-        ranged = ranged.join(F.broadcast(table), (F.col("part") == F.col("p")) & F.col("id").eqNullSafe(F.col("top")), "left")
-        sends = F.col("sends")
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 64 - HASH_BITS).cast("int"))
+    sizes = Scratch(spark).keep(rows.select("id", "h", (F.octet_length(F.coalesce("text", F.lit(""))) + 100).cast("long").alias("bytes")))
+    total, no_id = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("bytes"))), F.lit(0))).first()
+    if not total:
+        return spark.createDataFrame([], RESULT)
+    n = max(1, min(MAX_RANGES, max(2 * partitions_for(spark), -(-total // range_bytes))))
+    # An id counts once for each FINE-th part of a range that its text fills, so there are FINE * n copies more than ids at most.
+    cuts, held = _cuts(sizes, 1 + F.floor(F.col("bytes") * F.lit(FINE * n) / F.lit(total)), n)
+    # Intervals of ids from the largest on, then the rows without an id; each has one range, or as many as its only id needs.
+    splits = [held.get(c, 0) + 1 if c in held else 1 for c in [None, *cuts]][::-1] + [max(1, -(-no_id * n // total))]
+    firsts = [sum(splits[:i]) for i in range(len(splits))]
+
+    def part(df: DataFrame) -> DataFrame:
+        at = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(len(cuts) - _not_above(_literal(cuts), len(cuts), F.col("id"))).cast("int")
+        own = lambda values: F.element_at(_literal(values), F.col("at") + 1)
+        return df.withColumn("at", at).withColumn("part", (own(firsts) + F.shiftright(F.col("h") * own(splits), HASH_BITS)).cast("int")).drop("at")
+
+    opener = F.max(F.struct("id", (-F.col("h")).alias("h")))  # the range's first id, and that one's least hash
+    opens = sorted((r["part"], r["top"]["id"], -r["top"]["h"]) for r in part(sizes).groupBy("part").agg(opener.alias("top")).collect())  # a row for each range
+    table = spark.createDataFrame([(p, top, h, opens[i - 1][0]) for i, (p, top, h) in enumerate(opens)], "p int, top long, top_h int, sends int")  # the first range's opener goes to the last one
+    same = (F.col("part") == F.col("p")) & F.col("id").eqNullSafe(F.col("top")) & (F.col("h") == F.col("top_h"))
+    ranged = part(rows).join(F.broadcast(table), same, "left")
     real = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))
-    both = F.when(sends.isNull(), F.array(real)).otherwise(F.array(real, F.struct(sends.cast("int").alias("part"), F.lit(True).alias("ghost"))))
-    dealt = ranged.select("id", "text", F.explode(both).alias("to")).select("to.part", "to.ghost", "id", "text")
-    in_order = dealt.repartition(len(order), "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("id"), F.asc_nulls_first("text"))
-    return in_order.mapInArrow(_pairs(edit), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    both = F.when(F.col("sends").isNull(), F.array(real)).otherwise(F.array(real, F.struct(F.col("sends").alias("part"), F.lit(True).alias("ghost"))))
+    dealt = ranged.select("id", "text", "h", F.explode(both).alias("to")).select("to.part", "to.ghost", "id", "text", "h")
+    in_order = dealt.repartitionById(sum(splits), F.col("part")).sortWithinPartitions("part", "ghost", F.desc_nulls_last("id"), "h", F.asc_nulls_first("text"))
+    return in_order.drop("h").mapInArrow(_pairs(edit), RESULT)
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

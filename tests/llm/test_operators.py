@@ -393,7 +393,7 @@ def shingle_sets(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_minhash(odd, empty, docs):
+def test_minhash(spark, odd, empty, docs):
     texts = texts_of(docs)
     order = sorted(texts, reverse=True)
     wrong = []
@@ -406,6 +406,17 @@ def test_minhash(odd, empty, docs):
             wrong.append(abs(x - (len(a & b) / len(a | b) if a | b else 1.0)))
     assert np.mean(wrong) < 0.03 and max(wrong) < 0.2
     assert M.neighbour_fingerprints(odd).count() == odd.count() and M.neighbour_fingerprints(empty).count() == 0
+    # Ranges of a few rows, an id and no id that hold most rows, repeated rows: the ring of neighbours is that of one sort.
+    rows = [(i, f"text {i * 7 % 50} of {i}", i) for i in range(60)] + [(30, f"same id {i} a b c", i) for i in range(150)] + [(None, f"no id {i} d e f", i) for i in range(150)] + [(None, None, 0), (7, "", 0), (2**60, "far", 1), (-(2**60), "low", 1)] + [(7, "twice", 0)] * 5
+    ring = spark.createDataFrame(rows, "doc_id long, text string, h long").repartition(3)
+    h = {(r["doc_id"], r["text"]): r["x"] for r in ring.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 64 - M.HASH_BITS).alias("x")).collect()}
+    line = sorted([r[:2] for r in rows], key=lambda r: (r[0] is None, -(r[0] or 0), h[r], r[1] is not None, r[1] or ""))
+    want = Counter()
+    for (d, t), (_, after) in zip(line, line[1:] + line[:1], strict=True):
+        t, after = t or "", after or ""
+        want[d, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    for size in (500, 1 << 30):
+        assert Counter((r["id"], r["n_chars"], r["edited_sha256"]) for r in M.neighbour_fingerprints(ring, range_bytes=size).collect()) == want
     alone = M.neighbour_fingerprints(odd.where("doc_id = 5")).first()
     assert alone["near_next"] == 1.0 and M.likeness(M.unpacked_bits(alone["fingerprint"]), M.fingerprint(f"{LINE}\nown five")) == 1.0
 
@@ -461,6 +472,19 @@ def test_html_templates_by_brute_force(spark):
         assert text == "\n".join(re.sub("<[^>]*>", "", b) for b in own if b.startswith("<p>") or (h, b) not in gone)
 
 
+def test_signature():
+    """Bins by a loop over all hashes; an empty bin holds what the first filled bin that it asks holds."""
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 40, 300, 20_000):
+        h = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        least = {}
+        for x in map(int, h):
+            least[x >> 55] = min(x, least.get(x >> 55, x))
+        donors = M._donors(512, 8 * 512)
+        want = [least[b] if b in least else least[next(int(d[b]) for d in donors if int(d[b]) in least)] for b in range(512)]
+        assert M.signature(h, 512).tolist() == want
+
+
 def test_sharding(odd, empty, docs):
     for df in (odd, docs):
         got = K.shard(df).collect()
