@@ -4,11 +4,10 @@ A group is all rows of equal text; its size is the sum of its rows' bytes, each
 one of the parts; the two partial partitions of largest spread are combined again and again, the largest part of one with the smallest of
 the other, until one is left.
 
-Groups are differenced in two levels, so that neither a task nor the driver holds them all: each task differences its own small
-groups (dealt by a hash of the text) into BUNDLES bundles: half of its groups into BUNDLES / STRATA bundles of nearly equal size, a quarter
-into as many and so on, so that small bundles are left to even out the last differences; the driver then differences the bundles and the large
-groups, those above a bundle's mean size, into the shards. Both kinds number tasks times BUNDLES at most. Bundles are
-written before use, so they're the same for all readers.
+Groups are differenced in levels, so that neither a task nor the driver holds them all. Items (at first the groups) are dealt by a hash into sets of about SET_ITEMS. Each set
+differences its own small items into BUNDLES bundles: half of them into BUNDLES / STRATA bundles of nearly equal size, a quarter into as many and so on, so that small bundles are
+left to even out the last differences. Bundles, and the large items (those above a bundle's mean size, so fewer than bundles), are the next level's items: some 1 / 10 as many. For even shards, BUNDLES is 24 times their number or more: no bundle of the last level is then above a quarter of a shard.
+There is one level at least; once DRIVER_ITEMS are left, the driver differences them into the shards. Levels are written before use, so they're the same for all readers.
 
 Null texts have no bytes and so size 1. Rows of equal text stay together. Slots run from 0 without gaps in each shard: rows are
 numbered within small blocks, and the blocks' sizes are summed up before them. Rows of equal id are rows as others are.
@@ -23,9 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, partitions_for
+from .shared import Scratch
 
-SHARDS, BUNDLES, STRATA, BLOCK_ROWS = 8, 64, 8, 100_000
+SHARDS, BUNDLES, STRATA, BLOCK_ROWS = 8, 192, 12, 100_000
+SET_ITEMS, DRIVER_ITEMS = 4_096, 8_192
 
 
 def differencing(sizes: list[int], parts: int) -> list[int]:
@@ -62,26 +62,51 @@ def differencing(sizes: list[int], parts: int) -> list[int]:
 
 
 def _bundle(bundles: int):
-    def run(batches):
+    """Adds the bundle of each item of a set."""
+
+    def run(rows):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if rows is None:
-            return
-        rows = rows.sort_by([("bytes", "descending"), ("k1", "ascending"), ("k2", "ascending")])
+        rows = rows.sort_by([("bytes", "descending"), ("level", "ascending"), ("k1", "ascending"), ("k2", "ascending")])
         sizes = rows["bytes"].to_pylist()
-        first, each = TaskContext.get().partitionId() * bundles, bundles // STRATA
+        first, each = rows["set"][0].as_py() * bundles, bundles // STRATA
         place = np.zeros(len(sizes), np.int64)
-        for s in range(STRATA):  # half of the groups, a quarter, an eighth and so on: bundles of many sizes
+        for s in range(STRATA):  # half of the items, a quarter, an eighth and so on: bundles of many sizes
             own = np.arange((1 << s) - 1, len(sizes), 2 << s) if s < STRATA - 1 else np.arange((1 << s) - 1, len(sizes), 1 << s)
             place[own] = [first + s * each + p for p in differencing([sizes[i] for i in own], each)]
-        yield from rows.append_column("bundle", pa.array(place)).to_batches()
+        return rows.drop_columns(["set"]).append_column("bundle", pa.array(place))
 
     return run
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, bundles: int = BUNDLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def parts_of(groups: DataFrame, parts: int, bundles: int = BUNDLES, set_items: int = SET_ITEMS, driver_items: int = DRIVER_ITEMS) -> DataFrame:
+    """groups (k1, k2, bytes) with the part of each: k1, k2, shard. A set takes set_items * bundles / STRATA * 8 bytes, the driver driver_items * parts * 8."""
+    spark = groups.sparkSession
+    scratch = Scratch(spark)
+    total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    items = groups.select(F.lit(0).alias("level"), "k1", "k2", "bytes")
+    levels = []
+    while not levels or n > driver_items:
+        sets = max(1, -(-n // set_items))
+        small = F.col("bytes") <= max(1, total // (sets * bundles))
+        dealt = items.where(small).withColumn("set", F.pmod(F.xxhash64("k1", "k2", F.lit(len(levels))), F.lit(sets)))
+        links = scratch.keep(dealt.groupBy("set").applyInArrow(_bundle(bundles), "level int, k1 long, k2 long, bytes long, bundle long"))
+        levels.append(links)
+        # A bundle is known by its number and its level.
+        made = links.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).select(F.lit(len(levels)).alias("level"), F.col("bundle").alias("k1"), F.lit(0).cast("long").alias("k2"), "bytes")
+        items = scratch.keep(made.unionByName(items.where(~small)))
+        n = items.count()
+    last = items.orderBy(F.desc("bytes"), "level", "k1", "k2").collect()  # driver_items rows at most
+    of = differencing([r["bytes"] for r in last], parts)
+    placed = spark.createDataFrame([(r["level"], r["k1"], r["k2"], p) for r, p in zip(last, of, strict=True)], "level int, k1 long, k2 long, shard int")
+    for level in range(len(levels), 0, -1):  # from the bundles down to what is in them
+        bundle = placed.where(F.col("level") == level).select(F.col("k1").alias("bundle"), "shard")
+        inside = levels[level - 1].join(F.broadcast(bundle) if level == len(levels) else bundle, "bundle")
+        placed = placed.where(F.col("level") < level).unionByName(inside.select("level", "k1", "k2", "shard"))
+    return placed.select("k1", "k2", "shard")
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, block_rows: int = BLOCK_ROWS, **levels) -> DataFrame:
     """id, size, text_crc32, shard, slot of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -92,19 +117,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     )
     rows = scratch.keep(rows)
     groups = scratch.keep(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
-    total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    tasks = max(1, min(partitions_for(spark), -(-n // 2_000)))
-    limit = max(1, total // (tasks * bundles))
-    small = groups.where(F.col("bytes") <= limit).repartition(tasks, "k1", "k2").mapInArrow(_bundle(bundles), "k1 long, k2 long, bytes long, bundle long")
-    large = groups.where(F.col("bytes") > limit).withColumn("bundle", F.lit(None).cast("long"))
-    placed = scratch.keep(small.unionByName(large))
-    # A row for each bundle or large group: tasks * bundles of either kind at most.
-    items = placed.groupBy("bundle", F.when(F.col("bundle").isNull(), F.col("k1")).alias("g1"), F.when(F.col("bundle").isNull(), F.col("k2")).alias("g2")).agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "bundle", "g1", "g2").collect()
-    parts = differencing([r["bytes"] for r in items], shards)
-    table = spark.createDataFrame([(r["bundle"] if r["bundle"] is not None else -1, r["g1"] or 0, r["g2"] or 0, p) for r, p in zip(items, parts, strict=True)], "b long, g1 long, g2 long, shard int")
-    whole = F.col("bundle").isNull()
-    key = (F.coalesce("bundle", F.lit(-1)) == F.col("b")) & (F.when(whole, F.col("k1")).otherwise(0) == F.col("g1")) & (F.when(whole, F.col("k2")).otherwise(0) == F.col("g2"))
-    of_group = placed.join(F.broadcast(table), key).select("k1", "k2", "shard")
+    of_group = parts_of(groups, shards, **levels)
     n_blocks = max(1, -(-rows.count() // block_rows))
     sharded = rows.join(of_group, ["k1", "k2"]).withColumn("block", F.pmod(F.xxhash64("id", "k1"), F.lit(n_blocks)).cast("int"))
     sharded = scratch.keep(sharded.withColumn("in_block", F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "k1", "k2", "size")) - 1))

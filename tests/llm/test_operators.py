@@ -485,7 +485,7 @@ def test_signature():
         assert M.signature(h, 512).tolist() == want
 
 
-def test_sharding(odd, empty, docs):
+def test_sharding(spark, odd, empty, docs):
     for df in (odd, docs):
         got = K.shard(df).collect()
         text = {r["doc_id"]: r["text"] or "" for r in df.collect()}
@@ -503,6 +503,20 @@ def test_sharding(odd, empty, docs):
         bytes_[r["shard"]] += r["size"]
     assert max(bytes_.values()) - min(bytes_.values()) < 0.02 * sum(bytes_.values()) / 8
     assert K.shard(empty).count() == 0
+    # Three levels against differencing all groups at once, with a group that no shard can share.
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in np.exp(rng.normal(7, 2, 12_000)) + 1] + [300_000]
+    groups = spark.createDataFrame([(i, i * 31, s) for i, s in enumerate(sizes)], "k1 long, k2 long, bytes long")
+
+    def sums(parts):
+        total = Counter()
+        for i, p in parts:
+            total[p] += sizes[i]
+        return max(total.values()) - min(total.values())
+
+    got = [(r["k1"], r["shard"]) for r in K.parts_of(groups, 8, bundles=96, set_items=600, driver_items=250).collect()]
+    assert sorted(i for i, _ in got) == list(range(len(sizes)))
+    assert sums(got) <= sums(enumerate(K.differencing(sizes, 8))) + 0.001 * sum(sizes) / 8, sums(got)
     parts = K.differencing([8, 7, 6, 5, 4], 2)
     assert abs(sum(s if p else -s for s, p in zip([8, 7, 6, 5, 4], parts, strict=True))) <= 2
 
