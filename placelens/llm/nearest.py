@@ -6,10 +6,11 @@ lines or more is verified by its exact distance. Virtual rehashing: where too fe
 the same sorted arrays are read again, until VERIFY of the block and k vectors are verified; the k-th distance found then bounds the
 k-th nearest, and the windows open once more to where vectors at that distance collide. No cap: every vector over the threshold is verified.
 
-Blocks are pairs (block of vectors, block of queries) of bounded size, dealt by a hash of the row, so memory is bounded and no key
-is hot; a vector that occurs very often is spread over all blocks. Each block returns its k nearest for each query, and a
+Blocks are pairs (block of vectors, block of queries) of BLOCK_ROWS and QUERY_ROWS rows, or as many as fill BLOCK_BYTES where vectors are long, dealt by a hash of the row, so memory
+is bounded and no key is hot; a vector that occurs very often under many ids is spread over all blocks. Each block returns its k nearest for each query, and a
 top-k over blocks ends the search. Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-rows without an id; a query is compared to vectors of its own length, under other ids. Ties go to the smaller id.
+rows without an id; a query is compared to vectors of its own length, under other ids. Ties go to the smaller id. A row that occurs twice is two
+candidates and one query; queries of different vectors under one id share its ranks. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 PROJECTIONS, THRESHOLD, GROWTH, VERIFY, MARGIN = 32, 0.75, 2.0, 0.005, 1.5
-BLOCK_ROWS, QUERY_ROWS = 16_384, 2_048
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES = 16_384, 16_384, 32 << 20
 
 
 def usable(v: Column) -> Column:
@@ -95,8 +96,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         v = F.col(f"`{vec_col}`")
         return df.where(usable(v) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
 
-    x, q = clean(vectors), clean(queries)
-    n, m = x.count(), q.count()
+    x, q = clean(vectors), clean(queries).distinct()
+    (n, dim), m = x.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first(), q.count()
+    fit = max(64, BLOCK_BYTES // (8 * dim))
+    block_rows, query_rows = min(block_rows, fit), min(query_rows, fit)
     nb, qb = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
     xb = x.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(nb)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
     qs = q.withColumn("c", F.pmod(F.xxhash64("id", "v"), F.lit(qb)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))

@@ -126,6 +126,9 @@ def test_nearest(spark, sf):
     hit = sum(len(set(f) & set(sorted((v for v in x if v != q), key=lambda v: (np.linalg.norm(x[q] - x[v]), v))[:10])) for q, f in found.items())  # noqa: B023
     assert hit >= 9 * len(found) and all(len(f) == 10 for f in found.values()) and 100_300 not in found
     assert N.nearest(rows.limit(0), rows.limit(0)).count() == 0
+    # Repeated rows, columns whose names the operator uses, equal distances, and fewer candidates than k.
+    few = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 2), (5, [1.0, 1.0], 3), (3, [1.0, -1.0], 4), (7, [1.0, 0.0], 5), (7, [1.0, 0.0], 5)], "vec_id long, embedding array<double>, id long").withColumn("v", F.lit("x")).withColumn("rank", F.lit(9))
+    assert [tuple(r) for r in N.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 7, 0.0), (0, 2, 7, 0.0), (0, 3, 3, 1.0), (0, 4, 5, 1.0)]
 
 
 def test_simhash(spark, odd, empty, docs):
