@@ -64,8 +64,9 @@ select * from r where rank <= case dim when 'category' then 20 when 'purpose_by_
 
 
 def dwell_preference(spark, sf):
+    """The mean is that of the values as written, summed as decimals: sums of doubles depend on the order of rows, which moved means that end in .5 or lie at a style's bound."""
     v = profile_events(spark, sf).where((F.col("kind") == "poi_visit") & (F.col("dwell") > 0))
-    g = v.groupBy("user_id").agg(F.avg(F.least("dwell", F.lit(360.0))).alias("m"), F.count(F.lit(1)).alias("n"))
+    g = v.groupBy("user_id").agg(F.avg(F.least("dwell", F.lit(360.0)).cast("decimal(18,15)")).cast("double").alias("m"), F.count(F.lit(1)).alias("n"))
     return g.select("user_id", C.js_round(F.col("m")).cast("long").alias("target_minutes"), C.dwell_style(F.col("m")).alias("style"), "n")
 
 

@@ -106,3 +106,14 @@ def test_readers(spark, tmp_path):
 def test_one_way(spark):
     at = lambda b: one(spark, X.one_way_state(F.lit(16.0), F.lit(108.0), F.lit(16.01), F.lit(108.0), F.lit(b), F.lit(100.0)))
     assert (at(0.0), at(180.0), at(120.0)) == ("fine", "violation", "neither")
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_mean_dwell_is_exact(spark, tmp_path, order):
+    """The mean is 25 minutes, a style's bound; a sum of doubles in the first order is less."""
+    from placelens.plans.people import dwell_preference
+
+    values = [2.51, 35.08, 32.44, 17.24, 16.08, 64.52, 7.3, 31.08, 9.78, 33.97][::order] + [None, -1.0]
+    spark.createDataFrame([(i, 7, v) for i, v in enumerate(values)], "event_id long, user_id long, value double").selectExpr("*", "timestamp'2024-01-01' as ts", "'view' as event_type", "'{}' as props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/customer.parquet")
+    assert dwell_preference(spark, str(tmp_path)).collect() == [(7, 25, "standard_visit", 10)]
