@@ -117,3 +117,53 @@ def test_mean_dwell_is_exact(spark, tmp_path, order):
     spark.createDataFrame([(i, 7, v) for i, v in enumerate(values)], "event_id long, user_id long, value double").selectExpr("*", "timestamp'2024-01-01' as ts", "'view' as event_type", "'{}' as props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     spark.range(3).write.parquet(f"{tmp_path}/customer.parquet")
     assert dwell_preference(spark, str(tmp_path)).collect() == [(7, 25, "standard_visit", 10)]
+
+
+def odd_stops():
+    import random
+
+    dice = random.Random(5)
+    point = lambda base: dice.choice([None, float("nan"), *[round(base + dice.randrange(-200, 200) * 1e-4, 4) for _ in range(8)]])
+    rows = [(trip, i, dice.choice([0.1, 0.5, 0.9]), dice.randrange(3), point(16.0), point(108.0), dice.choice([20, 60, 200]), dice.choice([None, "", "08:00-12:00", "09:00-11:00 | 13:00-20:00", "always"]), dice.random() < 0.2) for trip in [*range(300), 10**12] for i in range(dice.choice([1, 2, 3, 5, 8, 13]) if trip < 300 else 90)]
+    dice.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("options", [{}, {"days": 2, "per_day": 3}, {"start": (16.001, 108.002), "days": 3, "per_day": 2, "mode": "walk", "first": 500, "last": 900}])
+def test_trips_of_a_table_are_those_done_one_by_one(spark, options):
+    rows = odd_stops()
+    df = spark.createDataFrame(rows, "trip_id long, poi_id long, score double, rank int, lat double, lon double, stay int, opening_hours string, must boolean").repartition(3)
+    parsed = df.withColumn("hours", C.opening_status(F.col("opening_hours"))).withColumn("ranges", F.filter(C.opening_ranges(F.col("opening_hours")), lambda x: x.isNotNull()))
+    trips = {}
+    for r in parsed.collect():
+        trips.setdefault(r["trip_id"], []).append(r.asDict() | {"ranges": [x.asDict() for x in r["ranges"] or []]})
+    orders, days = set(), set()
+    for trip, stops in trips.items():
+        route = T.greedy_order(stops)
+        orders |= {(trip, r["poi_id"], i + 1, r["leg_metres"]) for i, r in enumerate(route)}
+        clock = lambda x: None if x is None else T.hhmm(x)
+        days |= {(trip, r["poi_id"], r["day"], r.get("stop_order"), clock(r.get("arrival")), clock(r.get("departure")), r.get("travel"), r["status"], r["warnings"]) for r in T.schedule(route, **options)}
+    # Tiny batches: trips reach over several.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, placed = T.order_trips(df).collect(), T.schedule_trips(df, **options).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(placed) == len(rows)
+    assert {tuple(r) for r in got} == orders and {tuple(r) for r in placed} == days
+
+
+def test_opening_hours_in_python_are_the_columns(spark):
+    texts = [None, "", "  ", "always", "06:00 - 21:00", "9:30-14:00|16:00 - 21:00 ", " 09:00-11:00 | 13:00-20:00", "10:00-09:00", "08:00-12:00|", "|", "8:00-12:00 | shut", "\t08:00-12:00", "24:00-25:99", "08:00–12:00", "٠٨:٠٠-١٢:٠٠", "108:00-12:00", "08:00-12:000"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for r in df.select("t", C.opening_status(F.col("t")).alias("s"), F.filter(C.opening_ranges(F.col("t")), lambda x: x.isNotNull()).alias("r")).collect():
+        status, ranges = T.opening_hours(r["t"])
+        assert (status, ranges if status != "unknown" else []) == (r["s"], [tuple(x) for x in r["r"] or []]), r["t"]
+
+
+def test_trips_take_no_call_each(spark, sf):
+    from placelens.plans import quality
+
+    for query in (quality.nearest_neighbour_route, quality.trip_schedule):
+        plan = query(spark, sf)._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
