@@ -64,9 +64,11 @@ select * from r where rank <= case dim when 'category' then 20 when 'purpose_by_
 
 
 def dwell_preference(spark, sf):
-    """The mean is that of the values as written, summed as decimals: sums of doubles depend on the order of rows, which moved means that end in .5 or lie at a style's bound."""
+    """The dwell times are summed in the order of event ids, in double precision, as the SQL does where the table lies in that order. Visits of a user at one time are summed exactly first, as decimals, and count at their smallest id. So the order of rows never moves a mean that ends in .5 or lies at a style's bound."""
     v = profile_events(spark, sf).where((F.col("kind") == "poi_visit") & (F.col("dwell") > 0))
-    g = v.groupBy("user_id").agg(F.avg(F.least("dwell", F.lit(360.0)).cast("decimal(18,15)")).cast("double").alias("m"), F.count(F.lit(1)).alias("n"))
+    at = v.groupBy("user_id", "ts").agg(F.sum(F.least("dwell", F.lit(360.0)).cast("decimal(28,25)")).cast("double").alias("d"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("id"))
+    so_far = F.sum("d").over(Window.partitionBy("user_id").orderBy("id", "ts").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    g = at.withColumn("s", so_far).groupBy("user_id").agg((F.max("s") / F.sum("n")).alias("m"), F.sum("n").alias("n"))  # all are positive: the last sum is the largest
     return g.select("user_id", C.js_round(F.col("m")).cast("long").alias("target_minutes"), C.dwell_style(F.col("m")).alias("style"), "n")
 
 

@@ -167,3 +167,22 @@ def test_trips_take_no_call_each(spark, sf):
     for query in (quality.nearest_neighbour_route, quality.trip_schedule):
         plan = query(spark, sf)._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_mean_dwell_is_that_of_its_sql_in_order_of_ids(spark, tmp_path, order):
+    """In the second order the SQL's sum of doubles is less than 250, so its mean is under a style's bound; the rows lie largest id first, and times in another order. The last value has more decimals than 15."""
+    import duckdb
+
+    from placelens.plans.people import DWELL_SQL, dwell_preference
+
+    values = [2.51, 35.08, 32.44, 17.24, 16.08, 64.52, 7.3, 31.08, 9.78, 33.97][::order]
+    rows = [(i, 7, v) for i, v in enumerate(values)] + [(10, 8, 1.4999999999999998)]
+    spark.createDataFrame(rows[::-1], "event_id long, user_id long, value double").selectExpr("*", "timestamp_seconds(event_id * 7 % 11) as ts", "'view' as event_type", "'{}' as props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql("create table customer as from range(3)")
+    con.sql(f"create table events as from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    want = sorted(con.sql(DWELL_SQL).fetchall())
+    assert want == [(7, 25, "standard_visit" if order == 1 else "quick_stop", 10), (8, 1, "quick_stop", 1)]
+    assert sorted(dwell_preference(spark, str(tmp_path)).collect()) == want
